@@ -65,7 +65,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def map_rows(df: DataFrame, keep: list[str], text_col: str, new: list[T.StructField], work: Callable[[pa.Array], list]) -> DataFrame:
+def map_rows(df: DataFrame, keep: list[str], text_col: str, new: list[T.StructField], work: Callable[[pa.Array], list], chunk: int = CHUNK_BYTES) -> DataFrame:
     """`keep` of each row and the `new` columns that work(texts of a chunk) returns, row by row in order.
 
     Nothing is shuffled; one chunk of texts is held at a time.
@@ -80,7 +80,7 @@ def map_rows(df: DataFrame, keep: list[str], text_col: str, new: list[T.StructFi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(n_kept)
-            for a, b in utf8_chunks(texts):
+            for a, b in utf8_chunks(texts, chunk):
                 out = work(texts.slice(a, b - a))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n_kept)), *made], names=names)

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op7_bpe": op7_bpe,
 }
 
 #: DuckDB: A-Z lowered, words as the operator takes them, windows as joined words.
