@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
+from .secrets import op3_secrets
+from .shards import op6_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_secrets": op3_secrets,
+    "op6_shards": op6_shards,
     "op7_bpe": op7_bpe,
 }
 
@@ -34,6 +38,22 @@ SELECT w.doc_id, len(w.ws)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_h
 FROM w LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+#: Pieces between matches give their starts; overlong pieces don't arise, as each pattern is matched from the left.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+rules(kind, o, pat, least) AS (VALUES
+  ('assign', 0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 0),
+  ('access', 1, 'AKIA[A-Z0-9]+', 20),
+  ('hex', 2, '[0-9a-f]+', 24)),
+m AS (SELECT doc_id, r, kind, o, least, regexp_extract_all(t, pat) AS ms, string_split_regex(t, pat) AS ps FROM d, rules WHERE kind <> 'access' OR contains(t, 'AKIA')),
+x AS (SELECT doc_id, r, kind, o, least, unnest(ms) AS s, unnest(list_transform(range(1, len(ms) + 1), k -> list_sum(list_transform(ps[1:k], p -> length(p))) + coalesce(list_sum(list_transform(ms[1:k-1], q -> length(q))), 0)))::bigint AS a FROM m WHERE len(ms) > 0),
+f AS (SELECT *, a + length(s) AS e FROM x WHERE CASE WHEN kind = 'assign' THEN length(regexp_replace(s, '^(?:[A-Za-z_]+)["'']?\x20*[:=]\x20*["'']?', '')) >= 6 ELSE length(s) >= least END),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) AS base FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::bigint AS n_assign, coalesce(n_access, 0)::bigint AS n_access, coalesce(n_hex, 0)::bigint AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(base, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_secrets": OP3_SQL,
     "op1_decontaminate": OP1_SQL,
 }
