@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
+from .ngram_join import op10_ngram_join
 from .secrets import op3_secrets
 from .shards import op6_shards
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op6_shards": op6_shards,
     "op7_bpe": op7_bpe,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 #: DuckDB: A-Z lowered, words as the operator takes them, windows as joined words.
@@ -46,14 +48,30 @@ rules(kind, o, pat, least) AS (VALUES
   ('access', 1, 'AKIA[A-Z0-9]+', 20),
   ('hex', 2, '[0-9a-f]+', 24)),
 m AS (SELECT doc_id, r, kind, o, least, regexp_extract_all(t, pat) AS ms, string_split_regex(t, pat) AS ps FROM d, rules WHERE kind <> 'access' OR contains(t, 'AKIA')),
-x AS (SELECT doc_id, r, kind, o, least, unnest(ms) AS s, unnest(list_transform(range(1, len(ms) + 1), k -> list_sum(list_transform(ps[1:k], p -> length(p))) + coalesce(list_sum(list_transform(ms[1:k-1], q -> length(q))), 0)))::bigint AS a FROM m WHERE len(ms) > 0),
+x AS (SELECT doc_id, r, kind, o, least, unnest(ms) AS s, unnest(list_transform(range(1, len(ms) + 1), lambda k: list_sum(list_transform(ps[1:k], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:k-1], lambda q: length(q))), 0)))::bigint AS a FROM m WHERE len(ms) > 0),
 f AS (SELECT *, a + length(s) AS e FROM x WHERE CASE WHEN kind = 'assign' THEN length(regexp_replace(s, '^(?:[A-Za-z_]+)["'']?\x20*[:=]\x20*["'']?', '')) >= 6 ELSE length(s) >= least END),
 g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) AS base FROM f GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0)::bigint AS n_assign, coalesce(n_access, 0)::bigint AS n_access, coalesce(n_hex, 0)::bigint AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(base, '') AS spans
 FROM d LEFT JOIN g USING (r)
 """
 
+#: Pairs that share a shingle are counted exactly; components by the smallest id along links.
+OP10_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i+4], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 75 * (p.n + q.n - i)),
+twoway AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT DISTINCT x, x FROM twoway UNION SELECT b.y, reach.r FROM reach JOIN twoway b ON b.x = reach.doc_id),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_ngram_join": OP10_SQL,
     "op3_secrets": OP3_SQL,
     "op1_decontaminate": OP1_SQL,
 }
