@@ -11,10 +11,12 @@ from .decontaminate import op1_decontaminate
 from .ngram_join import op10_ngram_join
 from .secrets import op3_secrets
 from .shards import op6_shards
+from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_secrets": op3_secrets,
+    "op5_toxicity": op5_toxicity,
     "op6_shards": op6_shards,
     "op7_bpe": op7_bpe,
     "op10_ngram_join": op10_ngram_join,
