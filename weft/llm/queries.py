@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
 from .ngram_join import op10_ngram_join
+from .quality import op9_quality
 from .secrets import op3_secrets
 from .shards import op6_shards
 from .toxicity import op5_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_shards": op6_shards,
     "op7_bpe": op7_bpe,
+    "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
 }
 
@@ -73,6 +75,7 @@ SELECT w.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, coalesce(c.component_id
 """
 
 ORACLES: dict[str, str] = {
+    "op9_quality": op9_quality,
     "op10_ngram_join": OP10_SQL,
     "op3_secrets": OP3_SQL,
     "op1_decontaminate": OP1_SQL,
