@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .base import clear_names, map_rows, table
 from .words import HashTable, mix
 
-#: Pieces that a worker remembers at most, and bytes of text in a chunk.
-KNOWN, CHUNK = 400_000, 16 << 20
+#: Pieces that a worker remembers when it begins a chunk, at most, bytes of text in a chunk, and rows decoded at a time.
+KNOWN, CHUNK, ROWS = 200_000, 4 << 20, 1000
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
 
@@ -209,11 +209,11 @@ def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.__getitem__
-        for batch in batches:
-            ids = batch.column(at)
+        for part in (batch.slice(k, ROWS) for batch in batches for k in range(0, batch.num_rows, ROWS)):
+            ids = part.column(at)
             bounds, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
             made = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=names)
 
     return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
