@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op2_ann
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
 from .ngram_join import op10_ngram_join
@@ -16,6 +17,7 @@ from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_ann": op2_ann,
     "op3_secrets": op3_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_shards": op6_shards,
