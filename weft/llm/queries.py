@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op2_ann
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
+from .licenses import op4_licenses
+from .lm import op8_lm_score
 from .ngram_join import op10_ngram_join
 from .quality import op9_quality
 from .secrets import op3_secrets
@@ -19,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ann": op2_ann,
     "op3_secrets": op3_secrets,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
     "op6_shards": op6_shards,
     "op7_bpe": op7_bpe,
+    "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
 }
@@ -76,7 +80,24 @@ c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+#: Bigram scores with a document's own counts taken off.
+OP8_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS MATERIALIZED (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(list_concat([NULL], ws[1:len(ws)-1])) AS h FROM w WHERE len(ws) > 0),
+c1 AS MATERIALIZED (SELECT w, count(*) AS c FROM t GROUP BY w), c2 AS MATERIALIZED (SELECT h, w, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY h, w),
+d1 AS MATERIALIZED (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w), d2 AS MATERIALIZED (SELECT doc_id, h, w, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY doc_id, h, w),
+x AS (
+  SELECT t.doc_id, t.n, t.h, c1.c - d1.c AS cw, coalesce(c2.c - d2.c, 0) AS chw, ch.c - dh.c AS chist, (SELECT count(*) FROM t) - t.n AS rest
+  FROM t JOIN c1 ON c1.w = t.w JOIN d1 ON d1.doc_id = t.doc_id AND d1.w = t.w
+  LEFT JOIN c2 ON c2.h = t.h AND c2.w = t.w LEFT JOIN d2 ON d2.doc_id = t.doc_id AND d2.h = t.h AND d2.w = t.w
+  LEFT JOIN c1 ch ON ch.w = t.h LEFT JOIN d1 dh ON dh.doc_id = t.doc_id AND dh.w = t.h),
+s AS (SELECT doc_id, n, sum(CASE WHEN chw > 0 THEN ln(chw / chist) ELSE ln(greatest(cw, 0.5) / greatest(rest, 1)) + CASE WHEN h IS NULL THEN 0 ELSE ln(0.4) END END) AS score FROM x GROUP BY doc_id, n)
+SELECT w.doc_id, len(w.ws)::bigint AS n_words, round(score / n, 6) AS mean_log_score FROM w LEFT JOIN s USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op8_lm_score": OP8_SQL,
     "op9_quality": op9_quality,
     "op10_ngram_join": OP10_SQL,
     "op3_secrets": OP3_SQL,
