@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from .base import clear_names, hold, table
 from .corpus import answer, answered, ask, blocks, components, hashes, n_buckets_of
+from .route import split
 from .words import SPACED, grams, mix
 
 #: Similarity as a fraction, words of a shingle, and shingles of a part of a group.
@@ -184,8 +185,9 @@ def _links(num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, words: int = WORDS, num: int = NUM, den: int = DEN, group_keys: int = GROUP_KEYS) -> DataFrame:
-    """`keep` columns of each row (the id alone, if None), n_shingles and component_id."""
-    named = clear_names(docs.select(*dict.fromkeys([id_col, *(keep or [])]), F.col(text_col).alias("__text")), ["n_shingles", "component_id", "__fp1", "__fp2"])
+    """`keep` columns of each row (the id alone, if None), n_shingles, component_id and component (a number of its own;
+    null for an empty set)."""
+    named = clear_names(docs.select(*dict.fromkeys([id_col, *(keep or [])]), F.col(text_col).alias("__text")), ["n_shingles", "component_id", "component", "__fp1", "__fp2"])
     kept = [c for c in named.columns if c != "__text"]
     id_name = kept[0]
 
@@ -247,11 +249,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = corpus.select(F.explode("rows").alias("r")).select("r.*")
     classes = rows.filter("n_shingles > 0").groupBy("__fp1", "__fp2", "n_shingles").agg(F.min(id_name).alias("least"))
-    of_class = classes.join(linked, F.col("__fp1") == F.col("node"), "left").withColumn("group", F.coalesce("component", "__fp1"))
-    of_group = of_class.groupBy("group").agg(F.min("least").alias("component_id"))
-    final = of_class.select("__fp1", "__fp2", "n_shingles", "group").join(of_group, "group").drop("group")
+    joins = linked.select(F.col("node").alias("__fp1"), F.col("component").alias("linked"))
+    of_class = classes.join(joins, "__fp1", "left").withColumn("component", F.coalesce("linked", "__fp1"))
+    of_group = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    final = of_class.select("__fp1", "__fp2", "n_shingles", "component").join(of_group, "component")
     joined = rows.join(final, ["__fp1", "__fp2", "n_shingles"], "left")
-    return joined.select(*[f"`{c}`" for c in kept], "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(f"`{id_name}`")).alias("component_id"))
+    return joined.select(*[f"`{c}`" for c in kept], "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(f"`{id_name}`")).alias("component_id"), "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of docs, one of each component: that of the smallest id that isn't null. Texts without words all stay.
+
+    Rows that stay whatever the join found aren't shuffled: a row is known by the hash of its id and text, and only
+    rows that may have to go are joined (route.py). Of rows equal in both, one stays.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    found = near_duplicates(docs.withColumn("__row", key), id_col, text_col, ["__row"], **options).filter("n_shingles > 0").withColumnRenamed(id_col, "__id")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("first"))
+    rows = found.groupBy("component", "__row").agg(F.count("*").alias("n")).join(first, "component")
+    stays = F.col("first.__row") == F.col("__row")
+    few = hold(rows.select("__row", stays.alias("stays"), "n").filter(~F.col("stays") | (F.col("n") > 1)).select("__row", "stays"), "repeats")
+    clean, rest = split(docs, key, few, "__row")
+    met = rest.join(few, rest["__key"] == few["__row"], "left")
+    own = [f"`{c}`" for c in docs.columns]
+    again = met.filter("stays").dropDuplicates(["__key"])
+    return clean.select(*own).unionByName(met.filter("stays is null").select(*own)).unionByName(again.select(*own))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

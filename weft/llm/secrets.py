@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import clear_names, exists, map_rows, scratch, table
+from .route import split
 
 #: The base rules' patterns (letters of assign's names in either case) and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -95,12 +96,19 @@ def masked(text: Column, findings: Column) -> Column:
     return F.when(F.size(findings) > 0, F.array_join(parts, "[SECRET]")).otherwise(text)
 
 
-def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text", **options) -> DataFrame:
-    """All rows and columns of docs, secrets replaced in the text; a text without any comes back unchanged."""
-    found = scan_secrets(docs, ledger, text_col=text_col, **options)
-    own = found.columns[: len(docs.columns)]
-    columns = {o: masked(F.col(f"`{c}`"), F.col("findings")) if o == text_col else F.col(f"`{c}`") for c, o in zip(own, docs.columns, strict=True)}
-    return found.select(*[c.alias(o) for o, c in columns.items()])
+def redact(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs, secrets replaced in the text; a text without any comes back unchanged.
+
+    Texts without findings aren't shuffled again: only rows whose blob may have some are joined (route.py)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blob = F.sha2(text, 256)
+    ledger = ledger or scratch(docs.sparkSession, "ledger")
+    rows = scan_new(docs.select(blob.alias("blob_id"), text.alias("text")), ledger, rule_version)
+    hits = rows.filter(F.size("findings") > 0).select(F.col("blob_id").alias("__blob"), "findings", F.xxhash64("blob_id").alias("__hit"))
+    clean, rest = split(docs, F.xxhash64(blob), hits, "__hit")
+    found = rest.join(hits, (rest["__key"] == hits["__hit"]) & (F.sha2(F.coalesce(rest[text_col], F.lit("")), 256) == hits["__blob"]), "left")
+    columns = [F.when(F.col("findings").isNull(), F.col(f"`{c}`")).otherwise(masked(F.col(f"`{c}`"), F.col("findings"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return clean.select(*[f"`{c}`" for c in docs.columns]).unionByName(found.select(*columns))
 
 
 def joined_spans(findings: Column) -> Column:
