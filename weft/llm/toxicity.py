@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 A word's characters (UTF-8 bytes) are predicted from the ORDER - 1 before them, padded at the word's start, with an
-end sign. Each class has its own counts of ORDER-grams; all lower orders are Kneser-Ney continuation counts shared by
-both classes, so an expression that is rare in one class falls back to what both know. A document's statistics are
+end sign. Each class has its own counts of ORDER-grams; the weight of falling back from a context, and all lower orders,
+Kneser-Ney continuation counts, are shared by both classes. So an expression that neither class knows says nothing,
+whatever the classes' sizes, and one that is rare in a class falls back to what both know. A document's statistics are
 length-normalised: the mean difference of the classes' log-likelihoods per sign, and the mean of what single words
 have above each of TAILS nats, per word. A logistic function of these, fitted on rows kept from the counts, makes the score.
 
-Counting runs over all labelled rows up to `train_bytes` of text a class (rows are taken by the hash of their id until
-that bound; a documented parameter), so that the model has a bounded size: at most one entry a byte counted. It is
+Counting runs over labelled rows, `train_rows` and `train_bytes` of text a class at most (documented parameters; rows
+are taken by the hash of their id), so the model has a bounded size: at most one entry a byte counted. It is
 broadcast. Scoring reads every text whole, without a shuffle; each distinct word of a chunk is scored once.
 
 Defined results: a null or empty text, or one without words, has all statistics 0; without labelled rows of both
@@ -30,7 +31,9 @@ from pyspark.sql import types as T
 from .base import map_rows, table, utf8_chunks
 from .words import ALNUM, HashTable, Words, find, mix
 
-ORDER, DISCOUNT, TAILS, TRAIN_BYTES = 6, 0.75, (1.0, 2.0, 3.5, 5.0), 8 << 20
+ORDER, DISCOUNT, TAILS, LEAST_TAIL = 6, 0.75, (1.0, 2.0, 3.5, 5.0), 0.003
+#: Labelled rows and bytes of their text a class, for the counts and for the logistic function each.
+TRAIN_ROWS, TRAIN_BYTES = 8192, 8 << 20
 END, START = 1, 2
 STATISTICS = ["gap", *(f"tail_{k}" for k in range(len(TAILS)))]
 NEW = [T.StructField(c, T.DoubleType()) for c in (*STATISTICS, "score")]
@@ -47,7 +50,7 @@ def signs(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sign = np.where(last, END, low[np.minimum(here, len(w.low))]).astype(np.uint64)
     keys = sign.copy()
     for k in range(1, ORDER):
-        keys |= np.where(place >= k, low[here - k], START).astype(np.uint64) << np.uint64(8 * k)
+        keys |= np.where(place >= k, low[np.maximum(here - k, 0)], START).astype(np.uint64) << np.uint64(8 * k)
     return keys, size
 
 
@@ -59,23 +62,19 @@ def distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """log P(toxic model) - log P(ordinary model) of each ORDER-gram counted, and of its context for others."""
+    """log P(toxic model) - log P(ordinary model) of each ORDER-gram counted in either class; it is 0 for others."""
 
     grams: np.ndarray
     gap: np.ndarray
-    contexts: np.ndarray
-    back: np.ndarray
     weights: np.ndarray
 
-    def tables(self) -> tuple[HashTable, HashTable]:
-        return HashTable(mix(self.grams), self.gap), HashTable(mix(self.contexts), self.back)
-
 
 def train(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     """From the distinct ORDER-grams and their counts in each class.
 
-    Shared lower orders: P_k(s|h) by interpolated continuation counts over both classes; then for class c
-    P(s|h) = (c(hs) - D)+ / c(h) + D * types(h) / c(h) * P_k(s|h'), or P_k(s|h') where c has no h.
+    Shared lower orders: P_k(s|h) by interpolated continuation counts over both classes, and the weight of falling back,
+    w(h) = D * types(h) / c(h), likewise. For class c with the discounted counts d(hs) = (c(hs) - D)+ and their sum d(h),
+    P(s|h) = (1 - w(h)) * d(hs) / d(h) + w(h) * P_k(s|h'), or P_k(s|h') where d(h) is 0.
     """
     order = np.argsort(keys)
     keys, toxic, ordinary = keys[order], toxic[order].astype(float), ordinary[order].astype(float)
@@ -92,21 +91,20 @@ def train(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
         below = np.searchsorted(held[ORDER - k + 1], grams & np.uint64((1 << 8 * (k - 1)) - 1)) if k > 1 else np.zeros(len(grams), np.int64)
         lower = np.maximum(kinds - DISCOUNT, 0) / total + DISCOUNT * types / total * lower[below]
     shared = lower[np.searchsorted(held[1], keys & np.uint64((1 << 8 * (ORDER - 1)) - 1))]
-    contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
-    logs, back = [], []
+    _, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+    both, types = np.bincount(of, toxic + ordinary), np.bincount(of)
+    rest = (DISCOUNT * types / both)[of]
+    logs = []
     for count in (toxic, ordinary):
-        total, types = np.bincount(of, count), np.bincount(of, count > 0)
-        seen = total > 0
-        rest = np.where(seen, DISCOUNT * types / np.where(seen, total, 1), 1.0)
-        own = np.where(seen[of], np.maximum(count - DISCOUNT, 0) / np.where(seen, total, 1)[of], 0)
-        logs.append(np.log(own + rest[of] * shared))
-        back.append(np.log(rest))
-    return Model(keys, (logs[0] - logs[1]).astype(np.float32), contexts, (back[0] - back[1]).astype(np.float32), np.zeros(len(STATISTICS) + 1))
+        held = np.maximum(count - DISCOUNT, 0)
+        total = np.bincount(of, held)[of]
+        logs.append(np.log(np.where(total > 0, (1 - rest) * held / np.where(total > 0, total, 1), (1 - rest) * shared) + rest * shared))
+    return Model(keys, (logs[0] - logs[1]).astype(np.float32), np.zeros(len(STATISTICS) + 1))
 
 
 def scorer(model: Model):
     """For chunks of texts: the statistics of each document."""
-    grams, contexts = model.tables()
+    grams = HashTable(mix(model.grams), model.gap)
 
     def work(texts: pa.Array) -> list[np.ndarray]:
         w = find(texts, ALNUM)
@@ -114,9 +112,6 @@ def scorer(model: Model):
         keys, size = signs(w, at)
         slot = grams.find(mix(keys))
         gap = np.where(slot >= 0, grams.values[slot], 0).astype(np.float64)
-        left = np.flatnonzero(slot < 0)  # unseen by both: the shared part is the same, so the weights of falling back remain
-        slot = contexts.find(mix(keys[left] >> np.uint64(8)))
-        gap[left] = np.where(slot >= 0, contexts.values[slot], 0)
         by_word = np.add.reduceat(gap, np.cumsum(size) - size) if len(size) else np.zeros(0)
         doc, docs = w.doc, len(w.first) - 1
         n_words, n_signs = np.bincount(doc, minlength=docs), np.bincount(doc, size[number], docs)
@@ -127,33 +122,49 @@ def scorer(model: Model):
     return work
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+def scaled(x: list[np.ndarray]) -> list[np.ndarray]:
+    """The statistics as the logistic function takes them: the logarithm of tails, as shares differ by magnitudes."""
+    return [x[0], *(np.log(t + LEAST_TAIL) for t in x[1:])]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Weights by Newton's method, the constant last; features are scaled inside."""
     scale = np.maximum(x.std(0), 1e-9)
     z = np.column_stack([x / scale, np.ones(len(x))])
+    weight = weight / weight.mean()
     b, damp = np.zeros(z.shape[1]), np.diag([ridge * len(x)] * x.shape[1] + [1e-9])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + damp, z.T @ (y - p) - damp @ b)
+        step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + damp, z.T @ (weight * (y - p)) - damp @ b)
         b += np.clip(step, -5, 5)
     return np.append(b[:-1] / scale, b[-1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: Column, limit: int) -> DataFrame:
-    """(label, __text) of labelled rows that `rows` admits, up to about `limit` bytes of text a class.
-
-    Ids are taken by hash: a class with more text is thinned by the share that the bound allows.
-    """
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & rows).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    own = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(marks, id_col).filter("__text is not null")
-    sizes = own.groupBy("label").agg(F.sum(F.octet_length("__text")).alias("n")).collect()  # one row a class
+def _thinned(rows: DataFrame, id_col: str, amounts: dict[int, float], limit: float, salt: int) -> tuple[DataFrame, dict[int, float]]:
+    """Of each label's rows, by the hash of their id, the share that brings its amount down to the limit; the shares."""
+    shares = {label: min(1.0, limit / max(1.0, n)) for label, n in amounts.items()}
     share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("label") == r["label"], F.lit(min(1.0, limit / max(1, r["n"])))).otherwise(share)
-    return own.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)).select("label", "__text")
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", count_rows: Column | None = None, scale_rows: Column | None = None, train_bytes: int = TRAIN_BYTES) -> Model:
+    for label, part in shares.items():
+        share = F.when(F.col("label") == label, F.lit(part)).otherwise(share)
+    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)), shares
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: Column, max_rows: int, max_bytes: int) -> DataFrame:
+    """(label, weight, __text) of labelled rows that `rows` admits: of each label about max_rows and max_bytes of text at
+    most; weight is the inverse of the label's share that was taken. The ids are broadcast, so no text is shuffled."""
+    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & rows).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("label"))
+    counts = {r["label"]: float(r["count"]) for r in marks.groupBy("label").count().collect()}  # two rows
+    marks, by_rows = _thinned(marks, id_col, counts, max_rows, 5)
+    own = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(marks), id_col).filter("__text is not null")  # bounded by max_rows
+    sizes = {r["label"]: float(r["n"] or 0) for r in own.groupBy("label").agg(F.sum(F.octet_length("__text")).alias("n")).collect()}
+    own, by_bytes = _thinned(own, id_col, sizes, max_bytes, 6)
+    weight = F.lit(0.0)
+    for label, part in by_bytes.items():
+        weight = F.when(F.col("label") == label, F.lit(1 / (part * by_rows[label]))).otherwise(weight)
+    return own.select("label", weight.alias("weight"), "__text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", count_rows: Column | None = None, scale_rows: Column | None = None, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
     """count_rows and scale_rows: which labelled rows (conditions on id_col) the counts and the logistic function see."""
     count_rows, scale_rows = (F.lit(True) if c is None else c for c in (count_rows, scale_rows))
 
@@ -168,24 +179,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 n = [np.bincount(of, np.repeat(np.bincount(number, label == t, len(at)), size), len(grams)).astype(np.int64) for t in (True, False)]
                 yield pa.RecordBatch.from_pydict({"key": grams.view(np.int64), "t": n[0], "o": n[1]})
 
-    own = labelled(docs, labels, label_col, id_col, text_col, count_rows, train_bytes)
-    counts = own.mapInArrow(count, "key long, t long, o long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    own = labelled(docs, labels, label_col, id_col, text_col, count_rows, train_rows, train_bytes)
+    counts = own.select("label", "__text").mapInArrow(count, "key long, t long, o long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     held = counts.toArrow()  # bounded by train_bytes: an entry for each byte counted at most
     keys, t, o = (held.column(c).to_numpy() for c in ("key", "t", "o"))
     model = train(keys.view(np.uint64), t, o)
     if not t.any() or not o.any():
-        model.gap[:], model.back[:] = 0, 0
+        model.gap[:] = 0
         share = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (count_rows | scale_rows)).agg(F.avg(F.col(label_col).cast("double")).alias("p")).first()["p"] or 0.0
         p = min(max(share, 1e-9), 1 - 1e-9)
         model.weights = np.array([*[0.0] * len(STATISTICS), np.log(p / (1 - p))])
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = labelled(docs, labels, label_col, id_col, text_col, scale_rows, train_bytes)
-    seen = map_rows(rest, ["label"], "__text", NEW[:-1], lambda texts: scorer_of(shared.value)(texts)).toArrow()
+    rest = labelled(docs, labels, label_col, id_col, text_col, scale_rows, train_rows, train_bytes)
+    seen = map_rows(rest, ["label", "weight"], "__text", NEW[:-1], lambda texts: scorer_of(shared.value)(texts)).toArrow()
     y = seen.column("label").to_numpy() > 0
-    x = np.column_stack([seen.column(c).to_numpy() for c in STATISTICS])
+    x = np.column_stack(scaled([seen.column(c).to_numpy() for c in STATISTICS]))
     if y.any() and not y.all():
-        model.weights = fit_logistic(x, y.astype(float))
+        model.weights = fit_logistic(x, y.astype(float), seen.column("weight").to_numpy())
     else:  # nothing to scale by: a gap of 0 is even
         model.weights = np.array([50.0, *[0.0] * len(TAILS), -1.0])
     return model
@@ -209,7 +220,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
     def work(texts: pa.Array) -> list:
         m = shared.value
         x = scorer_of(m)(texts)
-        z = sum(a * b for a, b in zip(x, m.weights[:-1], strict=True)) + m.weights[-1]
+        z = sum(a * b for a, b in zip(scaled(x), m.weights[:-1], strict=True)) + m.weights[-1]
         return [*x, 1 / (1 + np.exp(-np.clip(z, -60, 60)))]
 
     return map_rows(docs, docs.columns if keep is None else keep, text_col, NEW, work)
