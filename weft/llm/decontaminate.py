@@ -15,8 +15,6 @@ columns named as a result column come back as <name>_input.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,14 +53,13 @@ def _hashes(windows: dict[int, dict[bytes, list[str]]]) -> dict[int, np.ndarray]
     return out
 
 
-def _runs(edge: np.ndarray, a: int, b: int) -> np.ndarray:
-    """First and end of each run of marked words in [a, b), from the marks' differences."""
-    on = np.cumsum(edge[a:b]) > 0
+def _runs(on: np.ndarray) -> np.ndarray:
+    """First and end of each run of marked words."""
     return np.flatnonzero(np.diff(np.concatenate([[0], on.view(np.int8), [0]]))).reshape(-1, 2)
 
 
 def scanner(windows: dict[int, dict[bytes, list[str]]], n: int):
-    """The work of map_rows. Windows never reach over a document's end, so marks of a document sum to 0 at its end."""
+    """The work of map_rows."""
     hashes = _hashes(windows)
     tables = {}
     for size, h in hashes.items():
@@ -80,8 +77,9 @@ def scanner(windows: dict[int, dict[bytes, list[str]]], n: int):
             at = np.flatnonzero(tables[size][(h >> np.uint64(64 - BITS)).astype(np.int64)])
             at = at[np.isin(h[at], hashes[size])]
             at = at[at + size <= w.first[doc[at] + 1]]
-            for j, a, b, d in zip(at.tolist(), w.start[at].tolist(), w.end[at + size - 1].tolist(), doc[at].tolist(), strict=True):
-                if found := held.get(re.sub(b"\0+", b" ", w.low[a:b].tobytes())):
+            for j, d in zip(at.tolist(), doc[at].tolist(), strict=True):
+                own = (w.low[a:b].tobytes() for a, b in zip(w.start[j : j + size].tolist(), w.end[j : j + size].tolist(), strict=True))
+                if found := held.get(b" ".join(own)):
                     items.setdefault(d, set()).update(found)
                     edge[j] += 1
                     edge[j + size] -= 1
@@ -89,12 +87,13 @@ def scanner(windows: dict[int, dict[bytes, list[str]]], n: int):
                     whole[j + size] -= size == n
         out: list[list[list[dict]]] = [[[] for _ in range(len(n_words))] for _ in range(3)]
         data, offsets = utf8(texts)
+        hit, cut_out = np.cumsum(edge) > 0, np.cumsum(whole) > 0
         for d in items:
             a, b = w.first[d], w.first[d + 1]
-            hits = _runs(edge, a, b)
+            hits = _runs(hit[a:b])
             out[0][d] = [{"start": x, "end": y} for x, y in hits.tolist()]
             lead = np.concatenate([[0], np.cumsum((data[offsets[d] : offsets[d + 1]] & 0xC0) != 0x80)])
-            for k, runs in ((1, hits), (2, _runs(whole, a, b))):
+            for k, runs in ((1, hits), (2, _runs(cut_out[a:b]))):
                 begin, end = lead[w.start[a + runs[:, 0]] - offsets[d]], lead[w.end[a + runs[:, 1] - 1] - offsets[d]]
                 out[k][d] = [{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
         return [n_words, [sorted(items.get(d, ())) for d in range(len(n_words))], *out]
