@@ -98,7 +98,6 @@ SELECT w.doc_id, len(w.ws)::bigint AS n_words, round(score / n, 6) AS mean_log_s
 
 ORACLES: dict[str, str] = {
     "op8_lm_score": OP8_SQL,
-    "op9_quality": op9_quality,
     "op10_ngram_join": OP10_SQL,
     "op3_secrets": OP3_SQL,
     "op1_decontaminate": OP1_SQL,

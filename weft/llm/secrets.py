@@ -104,10 +104,10 @@ def redact(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_
     blob = F.sha2(text, 256)
     ledger = ledger or scratch(docs.sparkSession, "ledger")
     rows = scan_new(docs.select(blob.alias("blob_id"), text.alias("text")), ledger, rule_version)
-    hits = rows.filter(F.size("findings") > 0).select(F.col("blob_id").alias("__blob"), "findings", F.xxhash64("blob_id").alias("__hit"))
+    hits = rows.filter(F.size("findings") > 0).select(F.col("blob_id").alias("__blob"), F.col("findings").alias("__findings"), F.xxhash64("blob_id").alias("__hit"))
     clean, rest = split(docs, F.xxhash64(blob), hits, "__hit")
     found = rest.join(hits, (rest["__key"] == hits["__hit"]) & (F.sha2(F.coalesce(rest[text_col], F.lit("")), 256) == hits["__blob"]), "left")
-    columns = [F.when(F.col("findings").isNull(), F.col(f"`{c}`")).otherwise(masked(F.col(f"`{c}`"), F.col("findings"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.when(F.col("__findings").isNull(), F.col(f"`{c}`")).otherwise(masked(F.col(f"`{c}`"), F.col("__findings"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return clean.select(*[f"`{c}`" for c in docs.columns]).unionByName(found.select(*columns))
 
 
