@@ -81,19 +81,24 @@ def _truth(shared, k: int):
         at = top(scores, k)
         q = np.repeat(np.arange(len(probes)), at.shape[1])
         found = at.ravel()
-        return {"q": pa.array(q, pa.int32()), "score": scores[q, found], "leaves": batch.column(2).take(pa.array(found))}
+        return {"q": pa.array(q, pa.int32()), "score": scores[q, found], "n": batch.column(3).take(pa.array(found)), "leaves": batch.column(2).take(pa.array(found))}
 
     return work
 
 
-def enough_rows(forest: Forest, sizes: np.ndarray, probes: np.ndarray, truth: list[list[list[int]]], recall: float) -> int:
-    """The fewest rows of leaves with which the mean recall of the probes' true neighbours is reached."""
+def enough_rows(forest: Forest, sizes: np.ndarray, probes: np.ndarray, truth: list[list[tuple[int, list[int]]]], recall: float, k: int) -> int:
+    """The fewest rows of leaves with which the mean recall of the probes' true neighbours is reached. truth: a probe's
+    entries, best first, with the number of rows that each stands for."""
     needed = []
     for query, neighbours in zip(probes, truth, strict=True):
         order = forest.search(query, sizes, 1 << 62)
         before = np.full(len(sizes), 1 << 62)
         before[order] = np.cumsum(sizes[order]) - sizes[order]  # rows held when the leaf is still taken: one less will do
-        needed += [(int(min(before[leaf] for leaf in leaves)) + 1, 1 / len(neighbours)) for leaves in neighbours]
+        left = k
+        for rows, leaves in neighbours:
+            if (took := min(rows, left)) > 0:
+                needed.append((int(min(before[leaf] for leaf in leaves)) + 1, took / k))
+                left -= took
     needed.sort()
     have = np.cumsum([w for _, w in needed])
     return needed[min(int(np.searchsorted(have, recall * have[-1])), len(needed) - 1)][0]
@@ -123,9 +128,9 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     def place(batch: pa.RecordBatch) -> dict:
         f = shared.value
         leaves = f.leaves(f.lift(matrix(batch.column(1)).astype(np.float64)))
-        return {"entry": batch.column(0), "vec": batch.column(1), "leaves": pa.ListArray.from_arrays(pa.array(np.arange(len(leaves) + 1) * leaves.shape[1], pa.int32()), pa.array(leaves.ravel(), pa.int32()))}
+        return {"entry": batch.column(0), "vec": batch.column(1), "n": batch.column(2), "leaves": pa.ListArray.from_arrays(pa.array(np.arange(len(leaves) + 1) * leaves.shape[1], pa.int32()), pa.array(leaves.ravel(), pa.int32()))}
 
-    placed = hold(per_batch(entries.select("entry", "vec"), "entry long, vec array<float>, leaves array<int>", place), "placed")
+    placed = hold(per_batch(entries.select("entry", "vec", F.size("ids").alias("n")), "entry long, vec array<float>, n int, leaves array<int>", place), "placed")
     sizes = np.zeros(forest.n_leaves, np.int64)
     for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().toLocalIterator():  # bounded by the forest
         sizes[r["leaf"]] = r["count"]
@@ -135,12 +140,12 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     if not len(chosen):
         return spark.createDataFrame([], result)
     asks = matrix(chosen).astype(np.float64)
-    truth = per_batch(placed, "q int, score double, leaves array<int>", _truth(spark.sparkContext.broadcast(asks), k + 1))
-    truth = truth.select("q", "leaves", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"))).alias("r")).filter(F.col("r") <= k + 1).collect()  # probes * (k + 1)
-    by_probe: list[list[list[int]]] = [[] for _ in asks]
+    truth = per_batch(placed.select("entry", "vec", "leaves", "n"), "q int, score double, n int, leaves array<int>", _truth(spark.sparkContext.broadcast(asks), k + 1))
+    truth = truth.select("q", "n", "leaves", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"))).alias("r")).filter(F.col("r") <= k + 1).orderBy("q", "r").collect()  # probes * (k + 1)
+    by_probe: list[list[tuple[int, list[int]]]] = [[] for _ in asks]
     for r in truth:
-        by_probe[r["q"]].append(r["leaves"])
-    enough = enough_rows(forest, sizes, asks, by_probe, recall)
+        by_probe[r["q"]].append((r["n"], r["leaves"]))
+    enough = enough_rows(forest, sizes, asks, by_probe, recall, k + 1)
 
     def visit(batch: pa.RecordBatch) -> dict:
         own = matrix(batch.column(1)).astype(np.float64)
@@ -169,6 +174,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
         return pa.table({"ask": q, "entry": found, "score": score})
 
     near = visits.unionByName(homes).withColumn("bucket", F.pmod(F.xxhash64("leaf"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(rerank, "ask long, entry long, score double")
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    near = near.unionByName(searched.select(F.col("entry").alias("ask"), "entry", norm.alias("score")))  # copies of the query, wherever they lie
     first = Window.partitionBy("ask").orderBy(F.desc("score"), "entry")
     near = near.groupBy("ask", "entry").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     each = near.join(entries.select("entry", "ids"), "entry").select("ask", "score", F.explode("ids").alias("vec_id"))
