@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text that a worker turns into numpy arrays at a time (one longer text is taken alone, whole).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +93,8 @@ def map_rows(df: DataFrame, keep: list[str], text_col: str, new: list[T.StructFi
                 out = work(texts.slice(a, b - a))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n_kept)), *made], names=names)
+            del batch, texts
+            release()
 
     return inner.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import clear_names, map_rows, table
+from .base import clear_names, map_rows, release, table
 from .words import HashTable, mix
 
 #: Pieces that a worker remembers when it begins a chunk, at most, bytes of text in a chunk, and rows decoded at a time.
@@ -214,6 +214,8 @@ def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame
             bounds, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
             made = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=names)
+            del part, ids, bounds, flat, made
+            release()
 
     return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("decoded", T.BinaryType())]))
 

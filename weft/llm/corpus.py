@@ -1,6 +1,6 @@
 """Corpus tables in blocks, and n-gram statistics that are exchanged between blocks.
 
-A block is about 16 MB of text as word hashes: a vocabulary and codes, compressed, written to the shared folder once,
+A block is about 8 MB of text as word hashes: a vocabulary and codes, compressed, written to the shared folder once,
 so that later passes see the same blocks. A statistic of n-grams (how often, in how many documents) is gathered by
 hash: each block sends every bucket the distinct keys that it has there, once, with its own count; a bucket sums them
 and answers each block key by key. So a key costs one entry a block, however many documents or rows hold it, and a
@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import arrow_type, hold, utf8_chunks
+from .base import arrow_type, hold, release, utf8_chunks
 from .words import find
 
 #: Bytes of text in a block, and keys in a bucket on average.
-BLOCK_BYTES, BUCKET_KEYS = 16 << 20, 1 << 21
+BLOCK_BYTES, BUCKET_KEYS = 8 << 20, 1 << 21
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -39,13 +39,13 @@ def unpack(held: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel() if len(flat) else np.zeros(0, kind)
 
 
-def blocks(docs: DataFrame, keep: list[str], text_col: str, lut: np.ndarray, extra: list[T.StructField] = (), make: Callable[[np.ndarray, np.ndarray], list] | None = None) -> DataFrame:
+def blocks(docs: DataFrame, keep: list[str], text_col: str, kinds: tuple[np.ndarray, np.ndarray], extra: list[T.StructField] = (), make: Callable[[np.ndarray, np.ndarray], list] | None = None) -> DataFrame:
     """Rows of blocks: block, rows (the kept columns of its documents), n_words, vocab, codes, and what make(hashes,
     first word of each document) adds, a list a document for each of `extra`."""
     kept = docs.select(*keep).schema
     element = T.StructType([*kept.fields, *extra])
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("rows", T.ArrayType(element)), *(T.StructField(c, T.BinaryType()) for c in ("first", "vocab", "codes"))])
-    kinds, names = [arrow_type(f.dataType) for f in element.fields], [f.name for f in schema.fields]
+    types, names = [arrow_type(f.dataType) for f in element.fields], [f.name for f in schema.fields]
 
     def close(number: int, held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         h = np.concatenate([x[1] for x in held])
@@ -53,8 +53,8 @@ def blocks(docs: DataFrame, keep: list[str], text_col: str, lut: np.ndarray, ext
         vocab, codes = np.unique(h, return_inverse=True)
         columns = [pa.chunked_array([x[0][i] for x in held]).combine_chunks() for i in range(len(kept))]
         made = make(h, first) if make else []
-        columns = [c if isinstance(c, pa.Array) else c.chunk(0) for c in columns] + [pa.array(x, k) for x, k in zip(made, kinds[len(kept) :], strict=True)]
-        rows = pa.ListArray.from_arrays(pa.array([0, len(first) - 1], pa.int32()), pa.StructArray.from_arrays(columns, fields=[pa.field(f.name, k) for f, k in zip(element.fields, kinds, strict=True)]))
+        columns = [c if isinstance(c, pa.Array) else c.chunk(0) for c in columns] + [pa.array(x, k) for x, k in zip(made, types[len(kept) :], strict=True)]
+        rows = pa.ListArray.from_arrays(pa.array([0, len(first) - 1], pa.int32()), pa.StructArray.from_arrays(columns, fields=[pa.field(f.name, k) for f, k in zip(element.fields, types, strict=True)]))
         values = [pa.array([number]), pa.array([len(h)]), rows, *(pa.array([pack(x)], pa.binary()) for x in (first, vocab, codes.astype(np.uint32)))]
         return pa.RecordBatch.from_arrays(values, names=names)
 
@@ -63,12 +63,13 @@ def blocks(docs: DataFrame, keep: list[str], text_col: str, lut: np.ndarray, ext
         for batch in batches:
             texts = batch.column(len(kept))
             for a, b in utf8_chunks(texts):
-                w = find(texts.slice(a, b - a), lut)
+                w = find(texts.slice(a, b - a), kinds)
                 held.append(([batch.column(i).slice(a, b - a) for i in range(len(kept))], w.hash, np.diff(w.first)))
                 size += len(w.low)
                 if size >= BLOCK_BYTES:
                     yield close(number, held)
                     number, held, size = number + 1, [], 0
+            release()
         if held:
             yield close(number, held)
 
@@ -102,6 +103,8 @@ def ask(corpus: DataFrame, n_buckets: int, keys_of: Callable[[dict], tuple[np.nd
                         c = np.bincount(at, c).astype(np.uint32)
                     steps = np.diff(k, prepend=kind(0))
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "block": [row["block"]], "keys": [pack(steps)], "counts": [pack(c.astype(np.uint32))]})
+                del keys, counts
+                release()
 
     return corpus.select("block", "first", "vocab", "codes").mapInArrow(run, "bucket int, block long, keys binary, counts binary")
 
@@ -114,6 +117,8 @@ def answer(asked: DataFrame, kind: type) -> DataFrame:
         flat, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(at, np.concatenate([unpack(c, np.uint32) for c in held.column("counts").to_pylist()]), len(flat)).astype(np.uint64)
         back = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
+        del keys, flat, at
+        release()
         return pa.table({"block": held.column("block"), "bucket": held.column("bucket"), "totals": pa.array([pack(x) for x in back], pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(total, "block long, bucket int, totals binary")

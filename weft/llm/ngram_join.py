@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import clear_names, hold, table
+from .base import clear_names, hold, release, table
 from .corpus import answer, answered, ask, blocks, components, hashes, n_buckets_of
 from .route import split
 from .words import SPACED, grams, mix
@@ -168,7 +168,7 @@ def _links(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             out: list[tuple[int, int]] = []
             for grp, i, j, part, n, node, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (grp, i, j) != now:
@@ -215,6 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 k, f = k[f > 1], f[f > 1]
                 order = np.lexsort((k, f))[: int(len(k) - least_overlap(int(n[d]), num, den) + 1)]
                 out.append((int(names[d]), int(n[d]), k.tobytes(), k[order].view(np.int64)))
+            del flat, distinct, at, often
+            release()
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))], names=["node", "n", "keys", "prefix"])
 
@@ -231,9 +233,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(sharing.select(F.col("node").alias("src"), head.alias("dst")))
     member = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
 
-    found = live.select("node", "n", "keys").join(member.withColumnRenamed("component", "grp"), "node")
+    member = hold(member.withColumnRenamed("component", "grp"), "member")
+    near = split(live.select("node", "n", "keys"), F.col("node"), member, "node")[1]  # others surely have no partner
+    found = near.select("node", "n", "keys").join(member, "node")
     # Large groups, of which there are at most (all keys / group_keys), are cut by size into parts.
-    narrow = live.select("node", "n").distinct().join(member.withColumnRenamed("component", "grp"), "node")
+    narrow = live.select("node", "n").distinct().join(member, "node")
     big = narrow.groupBy("grp").agg(F.sum("n").alias("all")).filter(F.col("all") > group_keys).select("grp")
     running = F.sum("n").over(Window.partitionBy("grp").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
     parts = hold(narrow.join(F.broadcast(big), "grp").select("grp", "node", "n", F.floor(F.coalesce(running, F.lit(0)) / group_keys).cast("int").alias("part")), "parts")

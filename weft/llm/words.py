@@ -14,14 +14,13 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = [np.zeros(0, np.uint64)]
 
 
-def classes(separators: bytes, lower: bool = True) -> np.ndarray:
-    """Byte -> byte of a word, 0 for a separator; A-Z become a-z. Bytes from 128 on are parts of words unless listed."""
-    lut = np.arange(256, dtype=np.uint8)
+def classes(separators: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """By byte: what it becomes (A-Z are lowered), and whether it's part of a word. Bytes from 128 on are parts."""
+    low, part = np.arange(256, dtype=np.uint8), np.ones(256, bool)
     if lower:
-        lut[65:91] += 32
-    lut[0] = 1  # NUL only occurs as a separator or as a byte of its own
-    lut[list(separators)] = 0
-    return lut
+        low[65:91] += 32
+    part[list(separators)] = False
+    return low, part
 
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lowering A-Z.
@@ -59,10 +58,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def find(texts: pa.Array, lut: np.ndarray, hashed: bool = True) -> Words:
+def find(texts: pa.Array, kinds: tuple[np.ndarray, np.ndarray], hashed: bool = True) -> Words:
     data, offsets = utf8(texts)
-    low = lut[data]
-    part = low != 0
+    low, part = kinds[0][data], kinds[1][data]
     before, after = np.zeros(len(low), bool), np.zeros(len(low), bool)
     if len(low):
         before[1:], after[:-1] = part[:-1], part[1:]
@@ -72,9 +70,13 @@ def find(texts: pa.Array, lut: np.ndarray, hashed: bool = True) -> Words:
     size = end - start
     h = np.zeros(0, np.uint64)
     if hashed and len(start):
-        at = np.flatnonzero(part)
-        place = np.arange(len(at)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        h = np.add.reduceat(low[at].astype(np.uint64) * powers(int(size.max()))[place], np.concatenate([[0], np.cumsum(size)[:-1]]))
+        lead = np.cumsum(size) - size
+        place = np.arange(size.sum(), dtype=np.int32)
+        place -= np.repeat(lead.astype(np.int32), size)
+        signs = powers(int(size.max()))[place]
+        del place
+        signs *= low[part].astype(np.uint64) + np.uint64(1)
+        h = np.add.reduceat(signs, lead)
         h = mix(h + size.astype(np.uint64) * STEP)
     return Words(low, offsets, start, end, h, np.searchsorted(start, offsets))
 
