@@ -328,5 +328,5 @@ def tridiagonal_solve(systems: DataFrame, id_col: str, row: str, lower: str, dia
         return F.concat(acc, F.array(F.struct(r["i"].alias("i"), x.alias("x"))))
 
     swept = lists.select(id_col, F.aggregate("rows", F.array().cast(kind), forward).alias("swept"))
-    solved = swept.select(id_col, F.explode(F.aggregate(F.reverse("swept"), F.array().cast("array<struct<i:bigint,x:double>>"), backward)).alias("s"))
-    return solved.select(id_col, F.col("s.i").alias(row), F.col("s.x").alias("x"))
+    solved = swept.select(id_col, F.explode(F.aggregate(F.reverse("swept"), F.array().cast("array<struct<i:bigint,x:double>>"), backward)).alias("__solved"))
+    return solved.select(id_col, F.col("__solved.i").alias(row), F.col("__solved.x").alias("x"))

@@ -38,7 +38,7 @@ def run(spark: SparkSession, edges: DataFrame, state: str, checkpoint: str) -> S
                 raise
             old = batch.limit(0)
         added = new_triangles(old, batch).select(F.lit(number).cast("long").alias("batch"), F.col("n").alias("added"))
-        added.write.mode("overwrite").parquet(f"{state}/counts/batch={number}".replace("batch=", "b"))
+        added.write.mode("overwrite").parquet(f"{state}/counts/b{number}")
         batch.write.mode("overwrite").parquet(f"{state}/edges/batch={number}")
         batch.unpersist()
 
