@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .shared import ship
+
 NAME = re.compile(r"(?:^|/)(\d+)((?:_\d+)+)\.[^./]+$")
 ROWS_A_TASK = 1 << 22
 VALUE = np.dtype("<i4")
@@ -79,7 +81,7 @@ class ColumnSource(DataSource):
 
 
 def read_columnar(spark: SparkSession, path: str, rows: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    spark.dataSource.register(ColumnSource)
+    ship(spark).dataSource.register(ColumnSource)
     reader = spark.read.format("coldb")
     if columns is not None:
         reader = reader.option("columns", ",".join(columns)).option("rows", str(rows))
@@ -91,6 +93,7 @@ def write_columnar(df: DataFrame, directory: str) -> list[str]:
 
     A file holds one partition, since a column's bytes are consecutive; read_relation reads all files of a directory.
     """
+    ship(df.sparkSession)
     ids = [c.removeprefix("a") for c in df.columns]
     if not all(x.isdigit() for x in ids):
         raise ValueError("columns must be named a<number>")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +20,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once a context: they may not have it on their path."""
+    context = spark.sparkContext
+    if not getattr(context, "_weft_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="weft-")) / "weft_package.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(to))
+        context._weft_shipped = True
+    return spark
