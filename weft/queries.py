@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as X
 from .functions.checksum import checksum, deciles
+from .operators import functors
 from .operators import patterns as pat
 from .operators import primitives as P
 from .operators import skew
@@ -17,6 +20,8 @@ from .operators.sliced import sliced_generic_join, sliced_join
 from .operators.wcoj import adjacency, generic_join, triangle_levels
 from .plans import decision
 from .sources import generators as gen
+from .sources.shared import ship
+from .sources.text import reverse_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,7 +48,7 @@ class Tables:
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     def add(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: make(Tables(ship(spark), sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return make
@@ -51,6 +56,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     return add
 
 
+def _repeat(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n = batch.column(0).to_numpy() % 3
+    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return pa.RecordBatch.from_pydict({"k": batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), "i": rank})
+
+
 E_SQL = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
 TRIANGLES_SQL = "SELECT x.src AS a0, x.dst AS a1, y.dst AS a2 FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst"
 T_BY_A0 = f"WITH {E_SQL} SELECT a0, count(*) AS count FROM ({TRIANGLES_SQL}) t GROUP BY a0"
@@ -268,6 +279,18 @@ query("p09_upper_bound", "SELECT s_nationkey AS v, (SELECT count(*) FROM custome
 query("p10_compact_ids", "SELECT k AS l_partkey, CAST(row_number() OVER (ORDER BY k) - 1 AS bigint) AS dense FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) x")(lambda t: P.compact_ids(t.lineitem, "l_partkey").withColumn("dense", F.col("dense").cast("long")))
 query("p10_multivalue", "SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS held FROM orders GROUP BY o_custkey")(lambda t: P.multivalue(t.orders, "o_custkey", "o_orderkey").select("o_custkey", F.array_join("values", ",").alias("held")))
 
+# --- the caller's own functions ----------------------------------------------------------------------------------
+
+query("u01_predicate", "SELECT c_custkey FROM customer WHERE c_custkey % 3 = 1 AND c_acctbal < 100")(lambda t: functors.where(t.customer, lambda d: (d["c_custkey"] % 3 == 1) & (d["c_acctbal"] < 100)).select("c_custkey"))
+query("u02_reduction", "SELECT l_suppkey, bit_xor(l_orderkey) AS reduced FROM lineitem GROUP BY l_suppkey")(lambda t: functors.reduce_by(t.lineitem.select("l_suppkey", "l_orderkey"), ["l_suppkey"], "l_orderkey", F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
+query("u03_flat_map", "SELECT p_partkey, unnest([p_size, -p_size]) AS v FROM part")(lambda t: functors.flat_map(t.part, F.array(F.col("p_size"), -F.col("p_size")), "v").select("p_partkey", "v"))
+query("u04_create_rows", "SELECT o_orderkey AS k, unnest(range(o_orderkey % 3)) AS i FROM orders")(lambda t: functors.create_rows(t.orders.select("o_orderkey"), _repeat, "k long, i long"))
+query("u05_comparator", "SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_custkey % 97 = s.s_suppkey % 97 WHERE c.c_custkey < 300")(lambda t: functors.join_by(t.customer.filter("c_custkey < 300").select("c_custkey"), t.supplier.select("s_suppkey"), F.col("c_custkey") % 97, F.col("s_suppkey") % 97))
+query("u06_partitioner", "SELECT CAST(l_suppkey % 5 AS int) AS k, count(*) AS n FROM lineitem GROUP BY 1")(lambda t: functors.deal(t.lineitem, 5, F.col("l_suppkey") % 5).groupBy((F.col("l_suppkey") % 5).cast("int").alias("k")).agg(F.count("*").alias("n")))
+query("x10_formats", "SELECT c_custkey, format('{:,}', c_custkey * 1234) AS f FROM customer")(lambda t: t.customer.select("c_custkey", F.format_number(F.col("c_custkey") * 1234, 0).alias("f")))
+query("s16_reverse_edges", f"WITH {E_SQL} SELECT dst AS src, src AS dst FROM e")(lambda t: reverse_edges(t.edges))
+query("s19_filtered_semi", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') AND o_orderdate < DATE '1997-01-01'")(lambda t: t.orders.filter("o_orderdate < DATE '1997-01-01'").join(t.customer.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey"))
+
 # --- generators (rows only) --------------------------------------------------------------------------------------
 
 query("g01_uniform")(lambda t: gen.uniform(t.spark, 1000, 0, 100))
