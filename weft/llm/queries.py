@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import ship
 from .ann import op2_ann
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
@@ -17,7 +18,7 @@ from .secrets import op3_secrets
 from .shards import op6_shards
 from .toxicity import op5_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ann": op2_ann,
     "op3_secrets": op3_secrets,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
 }
+QUERIES = {name: (lambda spark, sf_dir, run=run: run(ship(spark), sf_dir)) for name, run in OPERATORS.items()}
 
 #: DuckDB: A-Z lowered, words as the operator takes them, windows as joined words.
 OP1_SQL = r"""
