@@ -10,8 +10,10 @@
 4. In a group, a signature tree over the classes (by size): each node has the OR of token bitmaps below it, the range
    of sizes and the least number of set bits. Two nodes are traversed together unless their sizes or the largest
    possible overlap rule out a link, or all below them is connected already; at the leaves, sets are intersected
-   exactly. A group of more than `group_keys` shingles is cut by size into parts, and pairs of parts whose sizes
-   allow a link are tasks of their own: no task holds more than two parts, and no link is lost.
+   exactly. A group of more than `group_keys` shingles is cut by size into parts. Each part is solved by itself; then
+   one member of each part's components meets those of the other parts; pairs of parts whose sizes allow a link
+   follow, but for pairs that are one component by then. No task holds more than two parts, and no link is lost; a
+   large group of near copies becomes one component before its parts are paired.
 5. Links' components come from alternating stars; each row gets its class's component. Only a spanning set of links is
    made, never all pairs of a group.
 
@@ -120,12 +122,13 @@ def may_link(x: tuple, y: tuple, num: int, den: int) -> bool:
     return most * (num + den) >= num * (la + lb)
 
 
-def tree_links(sets: list[np.ndarray], sizes: list[int], split: int | None = None, num: int = NUM, den: int = DEN) -> Iterator[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], sizes: list[int], split: int | None = None, num: int = NUM, den: int = DEN, label: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Links that connect all sets that links connect: of all pairs, or of pairs across `split` alone.
 
-    A set is given by its ascending shingles, or by those that others have too, and by its whole size.
+    A set is given by its ascending shingles, or by those that others have too, and by its whole size. Sets of equal
+    labels are connected already.
     """
-    tree, label = Tree(sets, sizes), np.arange(len(sets))
+    tree, label = Tree(sets, sizes), np.arange(len(sets)) if label is None else label.copy()
     root = (0, len(sets))
     stack = [(root, root)] if split is None else [((0, split), (split, len(sets)))]
     while stack:
@@ -157,25 +160,25 @@ def tree_links(sets: list[np.ndarray], sizes: list[int], split: int | None = Non
 
 
 def _links(num: int, den: int):
-    """Streams groups (part pairs) out of sorted rows (grp, i, j, part, n, node, keys)."""
+    """Streams groups (part pairs) out of sorted rows (grp, i, j, part, n, node, label, keys)."""
 
-    def solve(key: tuple, held: dict[int, tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
-        rows = sorted((part, n, node, keys) for node, (part, n, keys) in held.items())
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    def solve(key: tuple, held: dict[int, tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int]]:
+        rows = sorted((part, n, node, label, keys) for node, (part, n, label, keys) in held.items())
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         split = None if key[1] == key[2] else sum(r[0] == key[1] for r in rows)
-        for i, j in tree_links(sets, [r[1] for r in rows], split, num, den):
+        for i, j in tree_links(sets, [r[1] for r in rows], split, num, den, np.array([r[3] for r in rows])):
             yield rows[i][2], rows[j][2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             out: list[tuple[int, int]] = []
-            for grp, i, j, part, n, node, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, i, j, part, n, node, label, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (grp, i, j) != now:
                     if held:
                         out += solve(now, held)
                     now, held = (grp, i, j), {}
-                held[node] = (part, n, keys)
+                held[node] = (part, n, label, keys)
             yield pa.RecordBatch.from_pydict({"src": pa.array([x for x, _ in out], pa.int64()), "dst": pa.array([y for _, y in out], pa.int64())})
         if held:
             out = list(solve(now, held))
@@ -184,6 +187,12 @@ def _links(num: int, den: int):
     return run
 
 
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes with the label of their component; a node without links is its own."""
+    of = components(links).withColumnRenamed("component", "__label")
+    return nodes.join(of, "node", "left").withColumn("label", F.coalesce("__label", "node")).drop("__label")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, words: int = WORDS, num: int = NUM, den: int = DEN, group_keys: int = GROUP_KEYS) -> DataFrame:
     """`keep` columns of each row (the id alone, if None), n_shingles, component_id and component (a number of its own;
     null for an empty set)."""
@@ -241,15 +250,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     big = narrow.groupBy("grp").agg(F.sum("n").alias("all")).filter(F.col("all") > group_keys).select("grp")
     running = F.sum("n").over(Window.partitionBy("grp").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
     parts = hold(narrow.join(F.broadcast(big), "grp").select("grp", "node", "n", F.floor(F.coalesce(running, F.lit(0)) / group_keys).cast("int").alias("part")), "parts")
-    ranges = parts.groupBy("grp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = ranges.alias("x"), ranges.alias("y")
-    pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.part") <= F.col("y.part")) & (F.col("x.hi") * den >= F.col("y.lo") * num)).select(F.col("x.grp").alias("grp"), F.col("x.part").alias("i"), F.col("y.part").alias("j"))
-    in_tasks = pairs.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
-    zero = F.lit(0)
-    small = found.join(F.broadcast(big), "grp", "left_anti").select("grp", zero.alias("i"), zero.alias("j"), zero.alias("part"), "n", "node", "keys")
-    large = found.join(parts.select("node", "part"), "node").join(in_tasks, ["grp", "part"]).select("grp", "i", "j", "part", "n", "node", "keys")
-    tasks = small.unionByName(large).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    linked = components(tasks.mapInArrow(_links(num, den), "src long, dst long"))
+
+    def solved(tasks: DataFrame) -> DataFrame:
+        dealt = tasks.select("grp", "i", "j", "part", "n", "node", "label", "keys").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return dealt.mapInArrow(_links(num, den), "src long, dst long")
+
+    zero, alone = F.lit(0), F.col("node")
+    links = solved(found.join(F.broadcast(big), "grp", "left_anti").select("*", zero.alias("i"), zero.alias("j"), zero.alias("part"), alone.alias("label")))
+    if not parts.isEmpty():
+        large = hold(found.join(parts.select("node", "part"), "node"), "large")
+        met = hold(solved(large.select("*", F.col("part").alias("i"), F.col("part").alias("j"), alone.alias("label"))), "links")
+        labelled = _labelled(parts, met)
+        # One member of each component of a part meets the others, where those are no more than a part holds.
+        chosen = labelled.groupBy("grp", "part", "label").agg(F.min(F.struct("n", "node")).alias("m")).select("grp", "label", "m.*")
+        few = chosen.groupBy("grp").agg(F.sum("n").alias("all")).filter(F.col("all") <= group_keys).select("grp")
+        chosen = chosen.join(few, "grp", "left_semi").select("node", "label")
+        met = hold(met.unionByName(solved(large.join(chosen, "node").withColumn("part", zero).select("*", zero.alias("i"), zero.alias("j")))), "links")
+        labelled = hold(_labelled(parts, met), "labelled")
+        ranges = labelled.groupBy("grp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
+        x, y = ranges.alias("x"), ranges.alias("y")
+        apart = F.least("x.first", "y.first") != F.greatest("x.last", "y.last")
+        sizes = F.col("x.hi") * den >= F.col("y.lo") * num
+        pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.part") < F.col("y.part")) & sizes & apart).select(F.col("x.grp").alias("grp"), F.col("x.part").alias("i"), F.col("y.part").alias("j"))
+        in_tasks = pairs.select("grp", "i", "j", F.explode(F.array("i", "j")).alias("part"))
+        across = large.join(labelled.select("node", "label"), "node").join(in_tasks, ["grp", "part"])
+        links = links.unionByName(met).unionByName(solved(across))
+    linked = components(links)
 
     rows = corpus.select(F.explode("rows").alias("r")).select("r.*")
     classes = rows.filter("n_shingles > 0").groupBy("__fp1", "__fp2", "n_shingles").agg(F.min(id_name).alias("least"))
