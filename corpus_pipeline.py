@@ -51,7 +51,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
-    coded = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, rest), RANKS)
+    coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, rest, decoded=True)
     return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("text", F.col("decoded").cast("string")).drop("decoded")
 
 

@@ -314,6 +314,8 @@ def test_bpe(spark):
     for r in coded.collect():
         text = texts[r["doc_id"]] or ""
         assert r["ids"] == plain.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
+    together = {r["doc_id"]: (r["ids"], bytes(r["decoded"])) for r in bpe.encode(docs_of(spark, texts), path, public.PATTERN, ["doc_id"], decoded=True).collect()}
+    assert together == {r["doc_id"]: (r["ids"], bytes(r["decoded"])) for r in coded.collect()}
     assert bpe.encode(docs_of(spark, []), path, public.PATTERN).count() == 0
 
 

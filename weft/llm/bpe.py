@@ -34,7 +34,7 @@ from .words import HashTable, mix
 
 #: Pieces that a worker remembers when it begins a chunk, at most, bytes of text in a chunk, and rows decoded at a time.
 KNOWN, CHUNK, ROWS = 200_000, 4 << 20, 1000
-IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+IDS, DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -188,41 +188,47 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """`keep` columns (all, if None) and `ids`, the token ids of the whole text. The rank file is read on the driver."""
+def decoded_of(ids: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    """The bytes of each list of ids."""
+    token, bounds, flat = tokens.__getitem__, ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """`keep` columns (all, if None) and `ids`, the token ids of the whole text. The rank file is read on the driver.
+
+    With decoded, also `decoded`: the bytes that the ids decode to, in the same workers.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # bounded: one vocabulary
     cache: dict[int, Encoder] = {}
 
     def work(texts: pa.Array) -> list:
         if 0 not in cache:
             cache[0] = Encoder(shared.value, pattern)
-        return [cache[0].encode(texts)]
+        ids = cache[0].encode(texts)
+        return [ids, decoded_of(ids, shared.value)] if decoded else [ids]
 
-    return map_rows(docs, docs.columns if keep is None else keep, text_col, [IDS], work, CHUNK)
+    return map_rows(docs, docs.columns if keep is None else keep, text_col, [IDS, DECODED] if decoded else [IDS], work, CHUNK)
 
 
 def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """All columns and `decoded`, the bytes of the ids."""
     shared = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    inner = clear_names(coded, ["decoded"])
-    at, names = inner.columns.index(ids_col), [*inner.columns, "decoded"]
+    inner = clear_names(coded, [DECODED.name])
+    at, names = inner.columns.index(ids_col), [*inner.columns, DECODED.name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
         for part in (batch.slice(k, ROWS) for batch in batches for k in range(0, batch.num_rows, ROWS)):
-            ids = part.column(at)
-            bounds, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
-            made = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=names)
-            del part, ids, bounds, flat, made
+            yield pa.RecordBatch.from_arrays([*part.columns, decoded_of(part.column(at), shared.value)], names=names)
+            del part
             release()
 
-    return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return inner.mapInArrow(run, T.StructType([*inner.schema.fields, DECODED]))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"]), path)
+    coded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"], decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
