@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, decontaminate, ngram_join, secrets, toxicity
-from weft.llm.base import hold, table
-from weft.sources.shared import ship
+from weft.llm.base import hold, prepared, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -55,16 +54,16 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("text", F.col("decoded").cast("string")).drop("decoded")
 
 
-def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+def _prepared(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    return lambda spark, docs, sf_dir: stage(prepared(spark), docs, sf_dir)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", _shipped(toxicity_stage)),
-    ("near_duplicates", _shipped(near_duplicates_stage)),
-    ("decontaminate", _shipped(decontaminate_stage)),
-    ("secrets", _shipped(secrets_stage)),
-    ("bpe", _shipped(bpe_stage)),
+    ("toxicity", _prepared(toxicity_stage)),
+    ("near_duplicates", _prepared(near_duplicates_stage)),
+    ("decontaminate", _prepared(decontaminate_stage)),
+    ("secrets", _prepared(secrets_stage)),
+    ("bpe", _prepared(bpe_stage)),
 ]
 
 #: The toxicity model and the token ids can't be expressed in SQL; tests/llm compare each stage with a plain version.

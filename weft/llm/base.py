@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import ship
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text that a worker turns into numpy arrays at a time (one longer text is taken alone, whole).
 CHUNK_BYTES = 2 << 20
@@ -25,6 +27,18 @@ def release() -> None:
         _trim(0)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts of a few kB then take some MB a batch.
+BATCH_ROWS, DEFAULT_ROWS = "2000", "10000"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, with this package on its workers and batches of whole texts that take little memory there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

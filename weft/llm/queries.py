@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import ship
 from .ann import op2_ann
+from .base import prepared
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
 from .licenses import op4_licenses
@@ -30,7 +30,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
 }
-QUERIES = {name: (lambda spark, sf_dir, run=run: run(ship(spark), sf_dir)) for name, run in OPERATORS.items()}
+QUERIES = {name: (lambda spark, sf_dir, run=run: run(prepared(spark), sf_dir)) for name, run in OPERATORS.items()}
 
 #: DuckDB: A-Z lowered, words as the operator takes them, windows as joined words.
 OP1_SQL = r"""
