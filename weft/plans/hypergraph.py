@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import prod
 
 from pyspark.sql import DataFrame
 
@@ -24,17 +25,22 @@ def size_in_bytes(df: DataFrame) -> int:
 
 
 def greedy_order(relations: Sequence[DataFrame], sizes: Sequence[int] | None = None) -> list[int]:
-    """The largest relation first, as it streams past the others; then always the smallest one that shares an
-    attribute with what is bound, so that no step is a cross product unless the join itself is disconnected."""
+    """The largest relation first, as it streams past the others; then always the linked one that multiplies rows least,
+    so that no step is a cross product unless the join itself is disconnected. An attribute has at most as many values
+    as the smallest relation with it has rows; a relation's size over the product of those is its estimated fan-out."""
     sizes = list(sizes) if sizes is not None else [size_in_bytes(r) for r in relations]
     left = list(range(len(relations)))
     first = max(left, key=lambda i: (sizes[i], -i))
     order, bound = [first], set(relations[first].columns)
     left.remove(first)
+    values = {a: max(1, min(n for r, n in zip(relations, sizes, strict=True) if a in r.columns)) for a in attributes(relations)}
+
+    def fan_out(i: int) -> float:
+        return sizes[i] / prod(values[a] for a in bound & set(relations[i].columns))
+
     while left:
         linked = [i for i in left if bound & set(relations[i].columns)]
-        # More shared attributes filter more; among equals the smaller relation comes first.
-        nxt = min(linked or left, key=lambda i: (-len(bound & set(relations[i].columns)) if linked else 0, sizes[i], i))
+        nxt = min(linked or left, key=lambda i: (fan_out(i) if linked else 0, sizes[i], i))
         order.append(nxt)
         left.remove(nxt)
         bound |= set(relations[nxt].columns)
