@@ -234,6 +234,40 @@ def test_licenses(spark):
     assert [line[x["start"] : x["end"]] for x in m] == ["Licensed under CC BY-NC 4.0"]
 
 
+def altered(text, at):
+    ws = text.split()
+    for k in at:
+        ws[k] = f"altered{k}"
+    return " ".join(ws)
+
+
+def whole_containment(text, template):
+    g, own = (np.unique(words.grams(words.find(pa.array([t]), words.ALNUM).hash, licenses.WORDS)) for t in (text, template))
+    return len(np.intersect1d(g, own)) / len(own)
+
+
+def test_licenses_count_whole_templates():
+    # Words altered in one part of a long template: 3/4 of the whole is there, but not of each piece.
+    scanner = licenses.Scanner(TEMPLATES)
+    texts, want = [], []
+    for name, versions in TEMPLATES.items():
+        for t in versions:
+            n = len(t.split())
+            if n <= licenses.CLASSES[-1] + licenses.WORDS:
+                continue
+            for begin in (2, n // 3, n // 2 + 2):
+                for changes in (4, 5, 6):
+                    texts.append(altered(t, range(begin, min(begin + 5 * changes, n), 5)))
+                    want.append((name, whole_containment(texts[-1], t)))
+    found, matches = scanner.scan(pa.array(texts))
+    per_piece = [name in brute_licenses(t, TEMPLATES) for t, (name, _) in zip(texts, want, strict=True)]
+    assert sum(share >= 0.75 and not old for (_, share), old in zip(want, per_piece, strict=True)) >= 5
+    for got, spans, (name, share) in zip(found, matches, want, strict=True):
+        assert (name in got) == (share >= 0.75), (name, share)
+        assert not spans or {m["license"] for m in spans} == set(got)
+        assert share < 0.75 or any(m["license"] == name and m["containment"] >= 0.75 for m in spans)
+
+
 # --- 5 toxicity --------------------------------------------------------------------------------------------------
 
 

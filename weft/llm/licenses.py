@@ -7,7 +7,10 @@ more than 64 shingles is cut into pieces. A piece of s shingles belongs to the s
 If a window holds at least 3/4 of a piece's shingles, their Jaccard similarity is at least (3/4 s) / (2c + s/4); as
 s > c / 2 (in the first class, s >= 3), that is 0.17 or more. With 64 bands of one row, a window that must be found
 is missed with a probability of at most (1 - 0.17)^64 < 10^-5. What bands retrieve is verified on exact shingle sets.
-A license is found in a document when at least 3/4 of the template's shingles are contained, summed over its pieces.
+A license is found in a document when at least 3/4 of the template's distinct shingles are contained. A template of one
+piece is counted in a window. Of a longer one, a window with 1/4 of a piece is a hit, and the whole template is counted
+in what lies within its length of the document's hits: pieces may be altered unevenly. If 3/4 of a template is there,
+so is 3/4 of some piece (but for shingles that the template repeats), so the bound above holds for it too.
 
 Templates are a parameter and bounded (they're broadcast); texts are read whole, without a shuffle.
 
@@ -28,6 +31,8 @@ from .license_texts import TEMPLATES
 from .words import ALNUM, find, grams, mix
 
 WORDS, CLASSES, BANDS, NUM, DEN = 3, (8, 16, 32, 64), 64, 3, 4
+#: Quarters (of DEN) of a piece that make a window a hit of a longer template.
+HIT = 1
 MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("containment", T.DoubleType())])
 NEW = [T.StructField("licenses", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(MATCH))]
 #: Odd factors of the bands' hashes.
@@ -54,10 +59,15 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]]):
         self.pieces = pieces_of(templates)
         self.total: dict[int, int] = {}
+        parts: dict[int, list[np.ndarray]] = {}
         self.by_class: dict[int, list[int]] = {c: [] for c in CLASSES}
         for i, (_, k, s) in enumerate(self.pieces):
             self.total[k] = self.total.get(k, 0) + len(s)
+            parts.setdefault(k, []).append(s)
             self.by_class[next(c for c in CLASSES if c >= len(s))].append(i)
+        #: By template: distinct shingles, and whether it has several pieces.
+        self.shingles = {k: np.unique(np.concatenate(held)) for k, held in parts.items()}
+        self.long = {k: len(held) > 1 for k, held in parts.items()}
         #: By class and band: a bit table over the low bits of the pieces' least hashes, and pieces by least hash.
         self.bits: dict[tuple[int, int], np.ndarray] = {}
         self.least: dict[tuple[int, int], dict[int, list[int]]] = {}
@@ -106,46 +116,52 @@ class Scanner:
         inside = np.flatnonzero(np.arange(len(g_all)) + WORDS <= w.first[doc + 1]) if len(g_all) else np.zeros(0, np.int64)
         g = g_all[inside]
         first = np.searchsorted(inside, w.first)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        spans: dict[int, list[tuple[int, int, str, float]]] = {}
+        best: dict[tuple[int, int], int] = {}
+        spans: dict[int, list[tuple[int, int, int, int]]] = {}
+        near: dict[tuple[int, int], list[np.ndarray]] = {}  # shingles around the hits of a longer template
         for i, a, b in sorted(self.candidates(g, first)):
-            name, k, own = self.pieces[i]
+            _, k, own = self.pieces[i]
             hit = np.isin(g[a:b], own)
             n = len(np.unique(g[a:b][hit]))
-            if n * DEN < len(own) * NUM:
+            if n * DEN < len(own) * (HIT if self.long[k] else NUM):
                 continue
             d = int(np.searchsorted(first, a, "right")) - 1
             at = np.flatnonzero(hit)
             begin, end = int(inside[a + at[0]]), int(inside[a + at[-1]] + WORDS - 1)
-            spans.setdefault(d, []).append((begin, end, i, n / len(own)))
-            if n > best.get((d, i), (0,))[0]:
-                best[d, i] = (n, begin, end)
+            spans.setdefault(d, []).append((begin, end, i, n))
+            best[d, i] = max(n, best.get((d, i), 0))
+            if self.long[k]:
+                more = self.total[k]
+                near.setdefault((d, k), []).append(g[max(first[d], a - more) : min(first[d + 1], b + more)])
         found: list[dict[int, int]] = [{} for _ in range(docs)]
-        for (d, i), (n, _, _) in best.items():
-            k = self.pieces[i][1]
-            found[d][k] = found[d].get(k, 0) + n
+        for (d, i), n in best.items():
+            if not self.long[k := self.pieces[i][1]]:
+                found[d][k] = n
+        for (d, k), held in near.items():
+            found[d][k] = int(np.isin(self.shingles[k], np.concatenate(held)).sum())
         data, offsets = utf8(texts)
         licenses, matches = [], []
         names = {k: name for name, k, _ in self.pieces}
         for d in range(docs):
-            whole = {k for k, n in found[d].items() if n * DEN >= self.total[k] * NUM}
+            whole = {k for k, n in found[d].items() if n * DEN >= len(self.shingles[k]) * NUM}
             licenses.append(sorted({names[k] for k in whole}))
             rows: list[dict] = []
             if whole:
                 lead = np.concatenate([[0], np.cumsum((data[offsets[d] : offsets[d + 1]] & 0xC0) != 0x80)])
+                shown = sorted((self.pieces[i][1], begin, end) for begin, end, i, n in spans[d] if self.pieces[i][1] in whole and (n * DEN >= len(self.pieces[i][2]) * NUM or n == best[d, i]))
                 joined: list[list] = []  # overlapping windows that show one occurrence of a template
-                for k, begin, end, share in sorted((self.pieces[i][1], begin, end, share) for begin, end, i, share in spans[d] if self.pieces[i][1] in whole):
+                for k, begin, end in shown:
                     if joined and joined[-1][0] == k and begin <= joined[-1][2]:
-                        joined[-1][2:] = [max(end, joined[-1][2]), max(share, joined[-1][3])]
+                        joined[-1][2] = max(end, joined[-1][2])
                     else:
-                        joined.append([k, begin, end, share])
-                rows = [{"license": names[k], "start": int(lead[w.start[a] - offsets[d]]), "end": int(lead[w.end[b] - offsets[d]]), "containment": share} for k, a, b, share in joined]
+                        joined.append([k, begin, end])
+                rows = [{"license": names[k], "start": int(lead[w.start[a] - offsets[d]]), "end": int(lead[w.end[b] - offsets[d]]), "containment": found[d][k] / len(self.shingles[k])} for k, a, b in joined]
             matches.append(sorted(rows, key=lambda r: (r["start"], r["license"])))
         return [licenses, matches]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """`keep` columns (all, if None), licenses (sorted names) and matches (spans in code points, best containment)."""
+    """`keep` columns (all, if None), licenses (sorted names) and matches (spans in code points, the template's containment in the document)."""
     shared = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)  # bounded: the caller's templates
     cache: dict[int, Scanner] = {}
 
