@@ -122,6 +122,9 @@ def _(t):
     return pat.match(e, pat.TRIANGLE, keys="first").agg(F.count("*").alias("n"))
 
 
+query("j02_first_key_mode_whole", f"WITH {E_SQL} SELECT count(*) AS n FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src")(lambda t: pat.match(t.edges, pat.TRIANGLE, assume_distinct=True, keys="first").agg(F.count("*").alias("n")))
+
+
 @query("j11_lookup_unique", "SELECT o_orderkey, c_nationkey FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON c_custkey = o_custkey")
 def _(t):
     return lookup_join(named(t.orders, o_orderkey="o_orderkey", key="o_custkey"), named(t.customer.filter("c_acctbal > 0"), key="c_custkey", c_nationkey="c_nationkey"), "key", assert_unique=True).drop("key")
@@ -164,6 +167,12 @@ query("j16_triangle_wcoj", TRIANGLE_ROWS)(lambda t: pat.match(_low(t), strategy=
 query("j17_triangle_wcoj_chunked", TRIANGLE_ROWS)(lambda t: generic_join(_three(_low(t)), ["a0", "a1", "a2"], chunk=8, assume_distinct=True))
 query("j18_triangle_levels", TRIANGLE_ROWS)(lambda t: triangle_levels(*_three(_low(t))))
 query("j34_sliced_wcoj", TRIANGLE_ROWS)(lambda t: sliced_generic_join(_three(_low(t)), ["a0", "a1", "a2"], 3))
+TRIANGLE_ROWS_WHOLE = f"WITH {E_SQL} {TRIANGLES_SQL}"
+query("j30_triangle_rows_whole", TRIANGLE_ROWS_WHOLE)(lambda t: pat.match(t.edges, assume_distinct=True))
+query("j16_triangle_wcoj_whole", TRIANGLE_ROWS_WHOLE)(lambda t: pat.match(t.edges, strategy="wcoj", assume_distinct=True))
+query("j17_triangle_wcoj_chunked_whole", TRIANGLE_ROWS_WHOLE)(lambda t: generic_join(_three(t.edges), ["a0", "a1", "a2"], chunk=8, assume_distinct=True))
+query("j18_triangle_levels_whole", TRIANGLE_ROWS_WHOLE)(lambda t: triangle_levels(*_three(t.edges)))
+query("j34_sliced_wcoj_whole", TRIANGLE_ROWS_WHOLE)(lambda t: sliced_generic_join(_three(t.edges), ["a0", "a1", "a2"], 3))
 query("j30_triangles_by_vertex", T_BY_A0)(lambda t: pat.match(t.edges, assume_distinct=True).groupBy("a0").agg(F.count("*").alias("count")))
 query("j16_triangle_count", f"WITH {E_SQL} SELECT count(*) AS count FROM ({TRIANGLES_SQL}) t")(lambda t: pat.count_matches(t.edges, assume_distinct=True))
 query("j16_triangle_count_by_vertex", T_BY_A0)(lambda t: pat.count_matches(t.edges, by=["a0"], assume_distinct=True).filter("count > 0"))
@@ -173,6 +182,9 @@ query("p_path3", f"WITH {E_SQL} SELECT count(*) AS count FROM e x JOIN e y ON y.
 query("p_square", f"WITH {E_SQL}, s AS (SELECT * FROM e WHERE src < 30) SELECT count(*) AS count FROM s a JOIN s b ON b.src = a.dst JOIN s c ON c.dst = b.dst JOIN s d ON d.src = a.src AND d.dst = c.src")(lambda t: pat.match(t.edges.filter("src < 30"), pat.SQUARE, assume_distinct=True).agg(F.count("*").alias("count")))
 query("p_diamond", f"WITH {E_SQL}, s AS (SELECT * FROM e WHERE src < 60) SELECT count(*) AS count FROM s a JOIN s b ON b.src = a.src JOIN s c ON c.src = a.dst AND c.dst = b.dst JOIN s d ON d.src = a.dst JOIN s f ON f.src = b.dst AND f.dst = d.dst")(lambda t: pat.count_matches(t.edges.filter("src < 60"), pat.DIAMOND, assume_distinct=True))
 query("p_tailed_triangle", f"WITH {E_SQL}, s AS (SELECT * FROM e WHERE src < 60) SELECT count(*) AS count FROM s x JOIN s y ON y.src = x.dst JOIN s z ON z.src = x.src AND z.dst = y.dst JOIN s w ON w.src = y.dst")(lambda t: pat.count_matches(t.edges.filter("src < 60"), pat.TAILED_TRIANGLE, assume_distinct=True))
+query("p_square_whole", f"WITH {E_SQL} SELECT count(*) AS count FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.dst = b.dst JOIN e d ON d.src = a.src AND d.dst = c.src")(lambda t: pat.count_matches(t.edges, pat.SQUARE, assume_distinct=True, order=["a0", "a1", "a3", "a2"]))
+query("p_diamond_whole", f"WITH {E_SQL} SELECT count(*) AS count FROM e a JOIN e b ON b.src = a.src JOIN e c ON c.src = a.dst AND c.dst = b.dst JOIN e d ON d.src = a.dst JOIN e f ON f.src = b.dst AND f.dst = d.dst")(lambda t: pat.count_matches(t.edges, pat.DIAMOND, assume_distinct=True))
+query("p_tailed_triangle_whole", f"WITH {E_SQL} SELECT count(*) AS count FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst JOIN e w ON w.src = y.dst")(lambda t: pat.count_matches(t.edges, pat.TAILED_TRIANGLE, assume_distinct=True))
 query("p_isomorphic_triangles", f"WITH {E_SQL} SELECT count(*) AS count FROM ({TRIANGLES_SQL}) t WHERE a0 <> a1 AND a1 <> a2 AND a0 <> a2")(lambda t: pat.match(t.edges, isomorphism=True, assume_distinct=True).agg(F.count("*").alias("count")))
 query("a23_degrees", f"WITH {E_SQL} SELECT src AS v, count(*) AS degree FROM e GROUP BY src")(lambda t: pat.degrees(t.edges))
 query("p12_bfs_levels", f"WITH RECURSIVE {E_SQL}, s AS (SELECT * FROM e WHERE src < 200 AND dst > src AND dst < src + 12), r(v, level) AS (SELECT 0::bigint, 0 UNION SELECT s.dst, r.level + 1 FROM r JOIN s ON s.src = r.v WHERE r.level < 32) SELECT v, min(level) AS level FROM r GROUP BY v")(lambda t: pat.bfs_levels(t.edges.filter("src < 200 AND dst > src AND dst < src + 12"), 0))
