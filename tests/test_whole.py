@@ -46,3 +46,14 @@ def test_patterns_of_all_edges(spark, near):
         "p_diamond": sum(len(get(near, b) & get(near, c)) for _, b, c in triangles), "p_tailed_triangle": sum(len(get(near, c)) for _, _, c in triangles),
     }
     assert {name: core.QUERIES[f"{name}_whole"](spark, SF).first()[0] for name in want} == want
+
+
+def test_rows_of_whole_tables(spark):
+    lines, sizes = column("lineitem", "l_orderkey"), column("part", "p_size")
+    suppliers = [s % 97 for s in column("supplier", "s_suppkey")]
+    want = {
+        "f01_projection": len(lines), "a17_product": len(set(lines)), "x13_intervals": len(column("orders", "o_orderkey")), "p07_expand": sum(sizes),
+        "u05_comparator": sum(c % 97 in suppliers for c in column("customer", "c_custkey")),
+    }
+    assert {name: core.QUERIES[f"{name}_whole"](spark, SF).count() for name in want} == want
+    assert max(r["o_orderkey"] for r in core.QUERIES["x13_intervals_whole"](spark, SF).collect()) == max(column("orders", "o_orderkey"))

@@ -192,6 +192,7 @@ query("p12_bfs_levels", f"WITH RECURSIVE {E_SQL}, s AS (SELECT * FROM e WHERE sr
 # --- selection ---------------------------------------------------------------------------------------------------
 
 query("f01_projection", "SELECT o_custkey AS a0, o_orderkey AS a1, l_suppkey AS a2 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500")(lambda t: natural_join([named(t.orders.filter("o_orderkey < 500"), a0="o_custkey", a1="o_orderkey"), named(t.lineitem, a1="l_orderkey", a2="l_suppkey")]))
+query("f01_projection_whole", "SELECT o_custkey AS a0, o_orderkey AS a1, l_suppkey AS a2 FROM orders JOIN lineitem ON l_orderkey = o_orderkey")(lambda t: natural_join([named(t.orders, a0="o_custkey", a1="o_orderkey"), named(t.lineitem, a1="l_orderkey", a2="l_suppkey")]))
 query("f02_flagged", "SELECT c_custkey FROM customer WHERE c_acctbal > 5000")(lambda t: P.select_flagged(t.customer.select("c_custkey", (F.col("c_acctbal") > 5000).alias("flag")), "flag"))
 query("f04_if", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 40 AND l_discount < 0.03")(lambda t: P.select_if(t.lineitem, (F.col("l_quantity") > 40) & (F.col("l_discount") < 0.03)).select("l_orderkey", "l_linenumber"))
 query("f07_partition", "SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END, CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END) - 1 AS place FROM customer")(lambda t: P.partition_if(t.customer.select("c_custkey", "c_acctbal"), F.col("c_acctbal") > 0, "c_custkey").select("c_custkey", F.col("place").cast("long").alias("place")))
@@ -230,6 +231,7 @@ query("a14_transform_reduce", "SELECT round(sum(l_extendedprice * (1 - l_discoun
 query("a15_segreduce_empty", "SELECT c_custkey, coalesce(CAST(s AS bigint), 0) AS sum FROM customer LEFT JOIN (SELECT o_custkey, sum(o_orderkey) AS s FROM orders WHERE o_orderdate >= DATE '2000-06-01' GROUP BY o_custkey) o ON o_custkey = c_custkey")(lambda t: P.segmented_reduce(t.customer.select("c_custkey"), t.orders.filter("o_orderdate >= DATE '2000-06-01'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "o_orderkey"))
 query("a16_spmv", "SELECT l_orderkey AS i, round(sum(l_quantity * s_acctbal), 2) AS y FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey")(lambda t: P.spmv(named(t.lineitem, i="l_orderkey", j="l_suppkey", v="l_quantity"), named(t.supplier, j="s_suppkey", x="s_acctbal")).withColumn("y", F.round("y", 2)))
 query("a17_product", "SELECT o_orderkey, round(product(l_quantity), 0) AS p FROM (SELECT l_orderkey AS o_orderkey, l_quantity FROM lineitem WHERE l_orderkey < 300 AND l_linenumber <= 3) x GROUP BY o_orderkey")(lambda t: t.lineitem.filter("l_orderkey < 300 AND l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.product("l_quantity"), 0).alias("p")))
+query("a17_product_whole", "SELECT l_orderkey AS o_orderkey, round(product(1 - l_discount), 8) AS p FROM lineitem GROUP BY l_orderkey")(lambda t: t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.product(1 - F.col("l_discount")), 8).alias("p")))
 query("a19_count_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts")))
 query("a19_count_distinct_approx")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts")))
 query("a20_conditional", "SELECT l_linenumber, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS bigint) AS returned, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS bigint) AS kept FROM lineitem GROUP BY l_linenumber")(lambda t: t.lineitem.groupBy("l_linenumber").agg(F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"), F.sum(F.when(F.col("l_returnflag") != "R", 1).otherwise(0)).alias("kept")))
@@ -273,6 +275,7 @@ query("x09_sorted_search", f"WITH {E_SQL}, a AS (SELECT src, list(dst ORDER BY d
 query("x11_md5", "SELECT c_custkey, md5(c_name) AS h FROM customer")(lambda t: t.customer.select("c_custkey", F.md5("c_name").alias("h")))
 query("x12_year", "SELECT CAST(year(o_orderdate) AS int) AS y, count(*) AS n FROM orders GROUP BY 1")(lambda t: t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n")))
 query("x13_intervals", "SELECT o_orderkey, CAST(o_orderdate AS date) + INTERVAL 90 DAY AS plus_days, strftime(make_date(CAST(year(o_orderdate) + 1 AS int), CAST(month(o_orderdate) AS int), 1), '%Y-%m-%d') AS next_year FROM orders WHERE o_orderkey < 2000")(lambda t: t.orders.filter("o_orderkey < 2000").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 90).cast("timestamp_ntz").alias("plus_days"), F.trunc(F.add_months(F.col("o_orderdate").cast("date"), 12), "month").cast("string").alias("next_year")))
+query("x13_intervals_whole", "SELECT o_orderkey, CAST(o_orderdate AS date) + INTERVAL 90 DAY AS plus_days, strftime(make_date(CAST(year(o_orderdate) + 1 AS int), CAST(month(o_orderdate) AS int), 1), '%Y-%m-%d') AS next_year FROM orders")(lambda t: t.orders.select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 90).cast("timestamp_ntz").alias("plus_days"), F.trunc(F.add_months(F.col("o_orderdate").cast("date"), 12), "month").cast("string").alias("next_year")))
 query("x14_substring", "SELECT substring(p_type, 1, 5) AS s, count(*) AS n FROM part GROUP BY 1")(lambda t: t.part.groupBy(F.substring("p_type", 1, 5).alias("s")).agg(F.count("*").alias("n")))
 query("x15_decode", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS d FROM orders")(lambda t: t.orders.select("o_orderkey", X.decode(F.col("o_orderstatus"), "F", 1, "O", 2, default=0).alias("d")))
 query("x17_like", "SELECT CAST(sum(CASE WHEN p_type LIKE 'PRO%' THEN 1 ELSE 0 END) AS bigint) AS prefix, CAST(sum(CASE WHEN p_brand LIKE '%3' THEN 1 ELSE 0 END) AS bigint) AS suffix, CAST(sum(CASE WHEN p_name LIKE '%1%2%' THEN 1 ELSE 0 END) AS bigint) AS two FROM part")(lambda t: t.part.select(F.count_if(F.col("p_type").like("PRO%")).alias("prefix"), F.count_if(F.col("p_brand").like("%3")).alias("suffix"), F.count_if(F.col("p_name").like("%1%2%")).alias("two")))
@@ -284,6 +287,7 @@ query("p01_radix_partition", "SELECT l_suppkey & 15 AS bucket, count(*) AS n, mi
 query("p02_lookup_values", "SELECT l_orderkey, l_linenumber, l_suppkey, s_acctbal FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s ON s_suppkey = l_suppkey")(lambda t: lookup_join(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), named(t.supplier.filter("s_suppkey % 2 = 0"), l_suppkey="s_suppkey", s_acctbal="s_acctbal"), "l_suppkey"))
 query("p05_multisplit", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_custkey % 4, o_orderkey) - 1 AS bigint) AS place FROM orders")(lambda t: P.multisplit(t.orders.select("o_orderkey", "o_custkey"), (F.col("o_custkey") % 4).cast("int"), "o_orderkey").select("o_orderkey", F.col("place").cast("long").alias("place")))
 query("p07_expand", "SELECT p_partkey, CAST(unnest(range(p_size)) AS int) AS rank FROM part WHERE p_partkey < 300")(lambda t: P.expand(t.part.filter("p_partkey < 300").select("p_partkey", "p_size"), "p_size").select("p_partkey", "rank"))
+query("p07_expand_whole", "SELECT p_partkey, CAST(unnest(range(p_size)) AS int) AS rank FROM part")(lambda t: P.expand(t.part.select("p_partkey", "p_size"), "p_size").select("p_partkey", "rank"))
 query("p08_interval_gather", "SELECT i.s_suppkey, p.p_partkey, p.p_size FROM supplier i JOIN part p ON p.p_partkey >= i.s_suppkey * 2 AND p.p_partkey < i.s_suppkey * 2 + 5")(lambda t: P.interval_gather(t.supplier.select("s_suppkey", (F.col("s_suppkey") * 2).alias("start"), F.lit(5).alias("count")), t.part.select("p_partkey", "p_size"), "start", "count", "p_partkey").select("s_suppkey", "p_partkey", "p_size"))
 query("p08_scatter", "SELECT i AS s_suppkey, s_nationkey FROM range(120) r(i) LEFT JOIN supplier ON s_suppkey = i")(lambda t: P.scatter(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey", 120))
 query("p09_lower_bound", "SELECT s_acctbal AS v, (SELECT count(*) FROM customer WHERE c_acctbal < s_acctbal) AS bound FROM supplier")(lambda t: P.bounds(named(t.supplier, v="s_acctbal"), named(t.customer, v="c_acctbal"), "v"))
@@ -298,6 +302,7 @@ query("u02_reduction", "SELECT l_suppkey, bit_xor(l_orderkey) AS reduced FROM li
 query("u03_flat_map", "SELECT p_partkey, unnest([p_size, -p_size]) AS v FROM part")(lambda t: functors.flat_map(t.part, F.array(F.col("p_size"), -F.col("p_size")), "v").select("p_partkey", "v"))
 query("u04_create_rows", "SELECT o_orderkey AS k, unnest(range(o_orderkey % 3)) AS i FROM orders")(lambda t: functors.create_rows(t.orders.select("o_orderkey"), _repeat, "k long, i long"))
 query("u05_comparator", "SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_custkey % 97 = s.s_suppkey % 97 WHERE c.c_custkey < 300")(lambda t: functors.join_by(t.customer.filter("c_custkey < 300").select("c_custkey"), t.supplier.select("s_suppkey"), F.col("c_custkey") % 97, F.col("s_suppkey") % 97))
+query("u05_comparator_whole", "SELECT c.c_custkey, count(*) AS n, CAST(sum(s.s_suppkey) AS bigint) AS suppliers FROM customer c JOIN supplier s ON c.c_custkey % 97 = s.s_suppkey % 97 GROUP BY c.c_custkey")(lambda t: functors.join_by(t.customer.select("c_custkey"), t.supplier.select("s_suppkey"), F.col("c_custkey") % 97, F.col("s_suppkey") % 97).groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("suppliers")))
 query("u06_partitioner", "SELECT CAST(l_suppkey % 5 AS int) AS k, count(*) AS n FROM lineitem GROUP BY 1")(lambda t: functors.deal(t.lineitem, 5, F.col("l_suppkey") % 5).groupBy((F.col("l_suppkey") % 5).cast("int").alias("k")).agg(F.count("*").alias("n")))
 query("x10_formats", "SELECT c_custkey, format('{:,}', c_custkey * 1234) AS f FROM customer")(lambda t: t.customer.select("c_custkey", F.format_number(F.col("c_custkey") * 1234, 0).alias("f")))
 query("s16_reverse_edges", f"WITH {E_SQL} SELECT dst AS src, src AS dst FROM e")(lambda t: reverse_edges(t.edges))
