@@ -5,8 +5,10 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from weft import queries as core
+from weft.operators import primitives as P
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -57,3 +59,17 @@ def test_rows_of_whole_tables(spark):
     }
     assert {name: core.QUERIES[f"{name}_whole"](spark, SF).count() for name in want} == want
     assert max(r["o_orderkey"] for r in core.QUERIES["x13_intervals_whole"](spark, SF).collect()) == max(column("orders", "o_orderkey"))
+
+
+def test_scatter_loses_no_position(spark, tmp_path):
+    spark.range(500).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).cast("int").alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["s_suppkey"]: r["s_nationkey"] for r in core.QUERIES["p08_scatter"](spark, str(tmp_path)).collect()}
+    assert got == {k: k % 25 for k in range(500)}
+
+
+@pytest.mark.parametrize("position", [3, -1, None])
+def test_scatter_refuses_other_positions(spark, position):
+    values = spark.createDataFrame([(0, 7), (position, 8)], "at long, v int")
+    with pytest.raises(Exception, match="outside"):
+        P.scatter(values, "at", 3).collect()
+    assert [tuple(r) for r in P.scatter(values.filter("at = 0"), "at", 3).orderBy("at").collect()] == [(0, 7), (1, None), (2, None)]

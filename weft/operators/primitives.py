@@ -234,7 +234,11 @@ def interval_gather(intervals: DataFrame, source: DataFrame, start: str, count:
 
 
 def scatter(values: DataFrame, position: str, n: int) -> DataFrame:
-    """One row for each place below n, with the values put there or NULL."""
+    """One row for each place below n, with the values put there or NULL. A position outside [0, n), or NULL, is an
+    error when the result is computed."""
+    inside = F.coalesce((F.col(position) >= 0) & (F.col(position) < n), F.lit(False))
+    error = F.raise_error(F.concat(F.lit(f"{position} is outside [0, {n}): "), F.coalesce(F.col(position).cast("string"), F.lit("NULL"))))
+    values = values.withColumn(position, F.when(inside, F.col(position)).otherwise(error.cast(values.schema[position].dataType)))
     every = values.sparkSession.range(n).select(F.col("id").cast(values.schema[position].dataType).alias(position))
     return every.join(values, position, "left")
 

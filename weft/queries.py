@@ -289,7 +289,7 @@ query("p05_multisplit", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_c
 query("p07_expand", "SELECT p_partkey, CAST(unnest(range(p_size)) AS int) AS rank FROM part WHERE p_partkey < 300")(lambda t: P.expand(t.part.filter("p_partkey < 300").select("p_partkey", "p_size"), "p_size").select("p_partkey", "rank"))
 query("p07_expand_whole", "SELECT p_partkey, CAST(unnest(range(p_size)) AS int) AS rank FROM part")(lambda t: P.expand(t.part.select("p_partkey", "p_size"), "p_size").select("p_partkey", "rank"))
 query("p08_interval_gather", "SELECT i.s_suppkey, p.p_partkey, p.p_size FROM supplier i JOIN part p ON p.p_partkey >= i.s_suppkey * 2 AND p.p_partkey < i.s_suppkey * 2 + 5")(lambda t: P.interval_gather(t.supplier.select("s_suppkey", (F.col("s_suppkey") * 2).alias("start"), F.lit(5).alias("count")), t.part.select("p_partkey", "p_size"), "start", "count", "p_partkey").select("s_suppkey", "p_partkey", "p_size"))
-query("p08_scatter", "SELECT i AS s_suppkey, s_nationkey FROM range(120) r(i) LEFT JOIN supplier ON s_suppkey = i")(lambda t: P.scatter(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey", 120))
+query("p08_scatter", "SELECT i AS s_suppkey, s_nationkey FROM range(120) r(i) LEFT JOIN supplier ON s_suppkey = i")(lambda t: P.scatter(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey", max(120, (t.supplier.agg(F.max("s_suppkey")).first()[0] or 0) + 1)))
 query("p09_lower_bound", "SELECT s_acctbal AS v, (SELECT count(*) FROM customer WHERE c_acctbal < s_acctbal) AS bound FROM supplier")(lambda t: P.bounds(named(t.supplier, v="s_acctbal"), named(t.customer, v="c_acctbal"), "v"))
 query("p09_upper_bound", "SELECT s_nationkey AS v, (SELECT count(*) FROM customer WHERE c_nationkey <= s_nationkey) AS bound FROM supplier")(lambda t: P.bounds(named(t.supplier, v="s_nationkey"), named(t.customer, v="c_nationkey"), "v", upper=True))
 query("p10_compact_ids", "SELECT k AS l_partkey, CAST(row_number() OVER (ORDER BY k) - 1 AS bigint) AS dense FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) x")(lambda t: P.compact_ids(t.lineitem, "l_partkey").withColumn("dense", F.col("dense").cast("long")))
