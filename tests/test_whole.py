@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft import queries as core
+from weft.operators import patterns as pat
 from weft.operators import primitives as P
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +74,18 @@ def test_scatter_refuses_other_positions(spark, position):
     with pytest.raises(Exception, match="outside"):
         P.scatter(values, "at", 3).collect()
     assert [tuple(r) for r in P.scatter(values.filter("at = 0"), "at", 3).orderBy("at").collect()] == [(0, 7), (1, None), (2, None)]
+
+
+def test_bfs_goes_on_to_the_last_level(spark):
+    path = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert sorted((r["v"], r["level"]) for r in pat.bfs_levels(path, 0).collect()) == [(k, k) for k in range(41)]
+    assert pat.bfs_levels(path, 0, 5).count() == 6
+
+
+def test_bfs_of_all_edges(spark, near):
+    level, frontier = {0: 0}, {0}
+    while frontier:
+        reached = {b for a in frontier for b in get(near, a)} - level.keys()
+        level |= dict.fromkeys(reached, max(level.values()) + 1)
+        frontier = reached
+    assert {r["v"]: r["level"] for r in core.QUERIES["p12_bfs_levels_whole"](spark, SF).collect()} == level

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,19 +75,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return held.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"))
 
 
-def bfs_levels(edges: DataFrame, source: int, max_depth: int = 32) -> DataFrame:
-    """(v, level) of all vertices that the source reaches in at most max_depth steps. Each level is checkpointed, so
-    that plans don't grow; the loop ends with an empty frontier."""
+def bfs_levels(edges: DataFrame, source: int, max_depth: int | None = None) -> DataFrame:
+    """(v, level) of all vertices that the source reaches, in at most max_depth steps if that is given. Each level is
+    checkpointed, and every 16th all that was seen, so that plans don't grow; the loop ends with an empty frontier."""
     held = edges.toDF("src", "dst").dropna().distinct()
     kind = held.schema["src"].dataType
     frontier = held.sparkSession.range(1).select(F.lit(source).cast(kind).alias("v"), F.lit(0).alias("level"))
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = held.join(frontier.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
         frontier = written(reached.join(seen, "v", "left_anti").withColumn("level", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:
+            seen = written(seen)
     return seen
 
 

@@ -188,6 +188,7 @@ query("p_tailed_triangle_whole", f"WITH {E_SQL} SELECT count(*) AS count FROM e
 query("p_isomorphic_triangles", f"WITH {E_SQL} SELECT count(*) AS count FROM ({TRIANGLES_SQL}) t WHERE a0 <> a1 AND a1 <> a2 AND a0 <> a2")(lambda t: pat.match(t.edges, isomorphism=True, assume_distinct=True).agg(F.count("*").alias("count")))
 query("a23_degrees", f"WITH {E_SQL} SELECT src AS v, count(*) AS degree FROM e GROUP BY src")(lambda t: pat.degrees(t.edges))
 query("p12_bfs_levels", f"WITH RECURSIVE {E_SQL}, s AS (SELECT * FROM e WHERE src < 200 AND dst > src AND dst < src + 12), r(v, level) AS (SELECT 0::bigint, 0 UNION SELECT s.dst, r.level + 1 FROM r JOIN s ON s.src = r.v WHERE r.level < 32) SELECT v, min(level) AS level FROM r GROUP BY v")(lambda t: pat.bfs_levels(t.edges.filter("src < 200 AND dst > src AND dst < src + 12"), 0))
+query("p12_bfs_levels_whole")(lambda t: pat.bfs_levels(t.edges, 0))
 
 # --- selection ---------------------------------------------------------------------------------------------------
 
