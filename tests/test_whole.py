@@ -7,7 +7,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from weft import queries as core
+from weft.llm import lm
 from weft.operators import patterns as pat
 from weft.operators import primitives as P
 
@@ -89,3 +91,11 @@ def test_bfs_of_all_edges(spark, near):
         level |= dict.fromkeys(reached, max(level.values()) + 1)
         frontier = reached
     assert {r["v"]: r["level"] for r in core.QUERIES["p12_bfs_levels_whole"](spark, SF).collect()} == level
+
+
+def test_trigram_scores_are_registered(spark):
+    found = {r["doc_id"]: r["mean_log_score"] for r in entry.queries()["op8_lm_score_trigrams"](spark, SF).collect()}
+    made = lm.score(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"], order=3)
+    want = {r["doc_id"]: r["m"] for r in made.select("doc_id", F.round("mean_log_score", 6).alias("m")).collect()}
+    assert found == pytest.approx(want, abs=2e-6)
+    assert found != {r["doc_id"]: r["mean_log_score"] for r in entry.queries()["op8_lm_score"](spark, SF).collect()}

@@ -92,6 +92,10 @@ def score(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text"
     return corpus.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(summed, schema)
 
 
-def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = score(table(spark, sf_dir, "documents"), ["doc_id"])
+def op8_lm_score(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataFrame:
+    made = score(table(spark, sf_dir, "documents"), ["doc_id"], order=order)
     return made.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op8_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_lm_score(spark, sf_dir, 3)

@@ -11,7 +11,7 @@ from .base import prepared
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
 from .licenses import op4_licenses
-from .lm import op8_lm_score
+from .lm import op8_lm_score, op8_lm_score_trigrams
 from .ngram_join import op10_ngram_join
 from .quality import op9_quality
 from .secrets import op3_secrets
@@ -31,6 +31,8 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 QUERIES = {name: (lambda spark, sf_dir, run=run: run(prepared(spark), sf_dir)) for name, run in OPERATORS.items()}
+#: Registered beside the ten: op8 with a longer context, which has no SQL.
+MORE = {"op8_lm_score_trigrams": lambda spark, sf_dir: op8_lm_score_trigrams(prepared(spark), sf_dir)}
 
 #: DuckDB: A-Z lowered, words as the operator takes them, windows as joined words.
 OP1_SQL = r"""
