@@ -1,8 +1,8 @@
 """A training-data pipeline of five stages, each over all that the one before has kept.
 
 toxicity: documents whose score is 0.5 or more go. near_duplicates: one document of each component of links stays.
-decontaminate: documents with windows of two or more benchmark items go; of others, whole 8-word windows of an item are
-cut out. secrets: found secrets are replaced by [SECRET]. bpe: token ids, and the text that they decode to.
+decontaminate: documents with windows of two or more benchmark items go; of others, 8-word windows of an item, or all of
+an item of 2 to 7 words, are cut out. secrets: found secrets are replaced by [SECRET]. bpe: token ids, and the text that they decode to.
 
 Every stage but the last returns the columns of its input; n_chars follows a text that a stage changes. The toxicity
 model is learned from labelled rows of the input outside crc32(doc_id) mod 5 = 0.

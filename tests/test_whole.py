@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weft import queries as core
-from weft.llm import lm
+from weft.llm import decontaminate, lm
 from weft.operators import patterns as pat
 from weft.operators import primitives as P
 
@@ -99,3 +99,10 @@ def test_trigram_scores_are_registered(spark):
     want = {r["doc_id"]: r["m"] for r in made.select("doc_id", F.round("mean_log_score", 6).alias("m")).collect()}
     assert found == pytest.approx(want, abs=2e-6)
     assert found != {r["doc_id"]: r["mean_log_score"] for r in entry.queries()["op8_lm_score"](spark, SF).collect()}
+
+
+@pytest.mark.parametrize("item", ["one two", "one two three four five", "one two three four five six seven"])
+def test_short_items_are_cut(spark, item):
+    docs = spark.createDataFrame([(1, f"before {item.upper()}, after"), (2, "one, after"), (3, None)], "doc_id long, text string")
+    out = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "before  , after", 2: "one, after", 3: None}

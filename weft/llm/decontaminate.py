@@ -24,10 +24,12 @@ from pyspark.sql import types as T
 from .base import hold, map_rows, table, utf8
 from .words import ALNUM, find, grams
 
+#: Words of the shortest item that is cut: a single word is ordinary language.
+LEAST_CUT = 2
 #: Bytes of benchmark text in a broadcast.
 PIECE_BYTES = 16 << 20
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-#: hits: runs of hit words, as word numbers; spans: the same runs in code points; cuts: those of whole n-word windows alone.
+#: hits: runs of hit words, as word numbers; spans: the same runs in code points; cuts: those of whole n-word windows and of shorter items of LEAST_CUT words or more.
 NEW = [T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), *(T.StructField(c, SPAN) for c in ("hits", "spans", "cuts"))]
 #: Bits of the first, cheap test.
 BITS = 20
@@ -61,6 +63,7 @@ def _runs(on: np.ndarray) -> np.ndarray:
 def scanner(windows: dict[int, dict[bytes, list[str]]], n: int):
     """The work of map_rows."""
     hashes = _hashes(windows)
+    least = min(LEAST_CUT, n)
     tables = {}
     for size, h in hashes.items():
         tables[size] = np.zeros(1 << BITS, bool)
@@ -83,8 +86,8 @@ def scanner(windows: dict[int, dict[bytes, list[str]]], n: int):
                     items.setdefault(d, set()).update(found)
                     edge[j] += 1
                     edge[j + size] -= 1
-                    whole[j] += size == n
-                    whole[j + size] -= size == n
+                    whole[j] += size >= least
+                    whole[j + size] -= size >= least
         out: list[list[list[dict]]] = [[[] for _ in range(len(n_words))] for _ in range(3)]
         data, offsets = utf8(texts)
         hit, cut_out = np.cumsum(edge) > 0, np.cumsum(whole) > 0
@@ -158,7 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items:
 
     remove="documents" drops documents in which windows of `min_items` items or more occur; "spans" cuts the hit words
     out of every document; "both" drops those documents and cuts hits out of the others. Cutting uses windows of
-    `n` whole words only: an item shorter than that may be ordinary language. Texts without hits come back unchanged.
+    `n` words and whole items of fewer, but not of fewer than LEAST_CUT: those are ordinary language. Texts without hits come back unchanged.
     """
     found = find_hits(docs, benchmark, n, docs.columns, text_col, **options)
     own = found.columns[: len(docs.columns)]
