@@ -3,13 +3,14 @@
 import os
 from collections import defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weft import queries as core
-from weft.llm import decontaminate, lm
+from weft.llm import ann, decontaminate, lm
 from weft.operators import patterns as pat
 from weft.operators import primitives as P
 
@@ -106,3 +107,24 @@ def test_short_items_are_cut(spark, item):
     docs = spark.createDataFrame([(1, f"before {item.upper()}, after"), (2, "one, after"), (3, None)], "doc_id long, text string")
     out = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "before  , after", 2: "one, after", 3: None}
+
+
+def test_ties_go_to_smaller_columns():
+    rng = np.random.default_rng(5)
+    scores = rng.integers(0, 4, (200, 60)).astype(float)
+    for k in (1, 5, 21):
+        want = [sorted(sorted(range(60), key=lambda c: (-row[c], c))[:k]) for row in scores]  # noqa: B023
+        assert [sorted(r) for r in ann.top(scores, k).tolist()] == want
+
+
+def test_nearest_of_binary_vectors(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.unique(rng.integers(0, 2, (400, 12)), axis=0)
+    vectors = rng.permutation(vectors[vectors.any(1)]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0, 10, leaf_rows=1000, recall=1.0).collect()
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found}
+    scores = vectors @ vectors.T
+    for q in range(0, len(vectors), 20):
+        want = sorted((k for k in range(len(vectors)) if k != q), key=lambda k: (-scores[q, k], k))[:10]  # noqa: B023
+        assert [got[q, r] for r in range(1, 11)] == want

@@ -66,10 +66,14 @@ def best(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tup
 
 
 def top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's k largest, with all ties of the k-th left to chance only beyond k."""
+    """Columns of each row's k largest; of those that tie with the k-th, the first columns."""
     if scores.shape[1] <= k:
         return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    return np.argpartition(-scores, k - 1, 1)[:, :k]
+    at = np.argpartition(-scores, k - 1, 1)[:, :k]
+    least = np.take_along_axis(scores, at, 1).min(1, keepdims=True)
+    tied = np.flatnonzero((scores >= least).sum(1) > k)
+    at[tied] = np.argsort(-scores[tied], 1, kind="stable")[:, :k]
+    return at
 
 
 def _truth(shared, k: int):
@@ -77,11 +81,12 @@ def _truth(shared, k: int):
 
     def work(batch: pa.RecordBatch) -> dict:
         probes = shared.value
+        batch = batch.sort_by("entry")  # ties go to the smaller entry
         scores = probes @ matrix(batch.column(1)).astype(np.float64).T
         at = top(scores, k)
         q = np.repeat(np.arange(len(probes)), at.shape[1])
         found = at.ravel()
-        return {"q": pa.array(q, pa.int32()), "score": scores[q, found], "n": batch.column(3).take(pa.array(found)), "leaves": batch.column(2).take(pa.array(found))}
+        return {"q": pa.array(q, pa.int32()), "entry": batch.column(0).take(pa.array(found)), "score": scores[q, found], "n": batch.column(3).take(pa.array(found)), "leaves": batch.column(2).take(pa.array(found))}
 
     return work
 
@@ -140,8 +145,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     if not len(chosen):
         return spark.createDataFrame([], result)
     asks = matrix(chosen).astype(np.float64)
-    truth = per_batch(placed.select("entry", "vec", "leaves", "n"), "q int, score double, n int, leaves array<int>", _truth(spark.sparkContext.broadcast(asks), k + 1))
-    truth = truth.select("q", "n", "leaves", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"))).alias("r")).filter(F.col("r") <= k + 1).orderBy("q", "r").collect()  # probes * (k + 1)
+    truth = per_batch(placed.select("entry", "vec", "leaves", "n"), "q int, entry long, score double, n int, leaves array<int>", _truth(spark.sparkContext.broadcast(asks), k + 1))
+    truth = truth.select("q", "n", "leaves", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "entry")).alias("r")).filter(F.col("r") <= k + 1).orderBy("q", "r").collect()  # probes * (k + 1)
     by_probe: list[list[tuple[int, list[int]]]] = [[] for _ in asks]
     for r in truth:
         by_probe[r["q"]].append((r["n"], r["leaves"]))
@@ -161,7 +166,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
         held = held.combine_chunks()
         leaf, asks, entry = (held.column(c).to_numpy() for c in ("leaf", "asks", "entry"))
         vec = matrix(held.column("vec").combine_chunks())
-        order = np.lexsort((asks, leaf))
+        order = np.lexsort((entry, asks, leaf))  # ties go to the smaller entry
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
             cut = len(part) - int(asks[part].sum())
