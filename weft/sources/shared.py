@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of this machine only where that is unset, as in tests."""
+    """spark.checkpoint.dir. Where that is unset, a temporary folder of this machine, but only with a local master, as
+    in tests: on a cluster that folder would be another one on each machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or f"{tempfile.gettempdir()}/weft-shared"
 
 
