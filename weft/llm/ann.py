@@ -12,11 +12,14 @@ where the data allow it, and as much as needed where they don't (vectors like no
 
 Equal vectors are one entry of the index with their k + 1 smallest ids, which is all that a query's k nearest can use,
 and a query vector that many rows share is searched once; so a hot vector is neither a large leaf nor repeated work.
-Cost: shuffled are trees * rows * dimension floats, and queries * leaves visited; nothing is joined pair by pair.
+Leaves are reranked in tiles: at most about TILE_ROWS of a leaf's rows with TILE_ASKS of its visits, so neither a large
+leaf nor one that many queries visit is a large task. Cost: shuffled are trees * rows * dimension floats, and
+queries * leaves visited; nothing is joined pair by pair.
 
 Defined results: null vectors, vectors with null or non-finite components or of length 0, and those of another
 dimension than the commonest one (the smaller, of two) take no part, nor do rows whose id is null. Rows with equal id
-and vector count once; a row is not a candidate of queries with its own id. An empty table gives no rows.
+and vector count once; a row is not a candidate of queries with its own id. An empty table gives no rows. Vectors of
+doubles stay doubles, others are taken as floats, which hold them exactly if they are floats.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import hold, table
+from ..sources.shared import ship
+from .base import col, hold, table
 from .forest import Forest, build
 
 #: Rows of the sample, trees, rows of a leaf that is aimed at, probes, their mean recall, and rows of a bucket of leaves.
 SAMPLE_ROWS, TREES, LEAF_ROWS, PROBES, RECALL, BUCKET_ROWS = 16_384, 16, 256, 64, 0.95, 1 << 16
+#: Rows of a leaf and visits to it that are scored together, and visits in one matrix product.
+TILE_ROWS, TILE_ASKS, PRODUCT_ASKS = 1 << 14, 1 << 12, 256
 
 
 def usable(vec: Column) -> Column:
@@ -111,8 +117,10 @@ def enough_rows(forest: Forest, sizes: np.ndarray, probes: np.ndarray, truth: li
 
 def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", n_trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, probes: int = PROBES, recall: float = RECALL, seed: int = 3) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of the rows for which `queries` holds."""
-    spark = rows.sparkSession
-    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
+    spark = ship(rows.sparkSession)
+    stored = rows.select(col(vec_col).alias("vec")).schema["vec"].dataType.elementType.simpleString()
+    array = f"array<{'float' if stored == 'float' else 'double'}>"
+    all_rows = rows.select(col(id_col).cast("long").alias("id"), col(vec_col).cast(array).alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
     common = all_rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     result = "query_id long, rank int, vec_id long, score double"
     if common is None:
@@ -135,7 +143,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
         leaves = f.leaves(f.lift(matrix(batch.column(1)).astype(np.float64)))
         return {"entry": batch.column(0), "vec": batch.column(1), "n": batch.column(2), "leaves": pa.ListArray.from_arrays(pa.array(np.arange(len(leaves) + 1) * leaves.shape[1], pa.int32()), pa.array(leaves.ravel(), pa.int32()))}
 
-    placed = hold(per_batch(entries.select("entry", "vec", F.size("ids").alias("n")), "entry long, vec array<float>, n int, leaves array<int>", place), "placed")
+    placed = hold(per_batch(entries.select("entry", "vec", F.size("ids").alias("n")), f"entry long, vec {array}, n int, leaves array<int>", place), "placed")
     sizes = np.zeros(forest.n_leaves, np.int64)
     for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().toLocalIterator():  # bounded by the forest
         sizes[r["leaf"]] = r["count"]
@@ -158,27 +166,40 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
         at = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
         return {"entry": batch.column(0).take(pa.array(at)), "vec": batch.column(1).take(pa.array(at)), "leaf": pa.array(np.concatenate(leaves), pa.int32())}
 
-    n_buckets = max(1, -(-n * n_trees // BUCKET_ROWS))
-    visits = per_batch(searched.select("entry", "vec"), "entry long, vec array<float>, leaf int", visit).withColumn("asks", F.lit(True))
-    homes = placed.select("entry", "vec", F.explode("leaves").alias("leaf")).withColumn("asks", F.lit(False))
+    # Tiles of a leaf: parts of its rows times parts of its visits, each dealt by hash. Both are bounded by the forest.
+    visits = hold(per_batch(searched.select("entry", "vec"), f"entry long, vec {array}, leaf int", visit), "visits")
+    asked_of = np.zeros(forest.n_leaves, np.int64)
+    for r in visits.groupBy("leaf").count().toLocalIterator():
+        asked_of[r["leaf"]] = r["count"]
+    n_home, n_ask = -(-sizes // TILE_ROWS), -(-asked_of // TILE_ASKS)
+    loads = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(n_home, n_ask, strict=True)) if a and b], "leaf int, n_home int, n_ask int")
+    n_buckets = max(1, int((sizes * n_ask + asked_of * n_home)[(n_home > 0) & (n_ask > 0)].sum()) // BUCKET_ROWS)
+    mine = lambda n: F.pmod(F.xxhash64("entry"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    visits = visits.join(F.broadcast(loads), "leaf").select("entry", "vec", "leaf", every("n_home").alias("home"), mine("n_ask").alias("part"), F.lit(True).alias("asks"))
+    homes = placed.select("entry", "vec", F.explode("leaves").alias("leaf")).join(F.broadcast(loads), "leaf").select("entry", "vec", "leaf", mine("n_home").alias("home"), every("n_ask").alias("part"), F.lit(False).alias("asks"))
 
     def rerank(held: pa.Table) -> pa.Table:
         held = held.combine_chunks()
-        leaf, asks, entry = (held.column(c).to_numpy() for c in ("leaf", "asks", "entry"))
+        leaf, home, visit_part, asks, entry = (held.column(c).to_numpy() for c in ("leaf", "home", "part", "asks", "entry"))
         vec = matrix(held.column("vec").combine_chunks())
-        order = np.lexsort((entry, asks, leaf))  # ties go to the smaller entry
+        order = np.lexsort((entry, asks, visit_part, home, leaf))  # ties go to the smaller entry
+        changes = (np.diff(leaf[order]) != 0) | (np.diff(home[order]) != 0) | (np.diff(visit_part[order]) != 0)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-            cut = len(part) - int(asks[part].sum())
-            home, ask = part[:cut], part[cut:]
-            if len(home) and len(ask):
-                scores = vec[ask].astype(np.float64) @ vec[home].astype(np.float64).T
-                at = top(scores, k + 1)
-                out.append((np.repeat(entry[ask], at.shape[1]), entry[home][at].ravel(), np.take_along_axis(scores, at, 1).ravel()))
+        for tile in np.split(order, np.flatnonzero(changes) + 1):
+            cut = len(tile) - int(asks[tile].sum())
+            rows, ask = tile[:cut], tile[cut:]
+            if not len(rows) or not len(ask):
+                continue
+            of = vec[rows].astype(np.float64).T
+            for at in (ask[i : i + PRODUCT_ASKS] for i in range(0, len(ask), PRODUCT_ASKS)):
+                scores = vec[at].astype(np.float64) @ of
+                near = top(scores, k + 1)
+                out.append((np.repeat(entry[at], near.shape[1]), entry[rows][near].ravel(), np.take_along_axis(scores, near, 1).ravel()))
         q, found, score = best(*(np.concatenate(x) for x in zip(*out, strict=True)), k + 1) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"ask": q, "entry": found, "score": score})
 
-    near = visits.unionByName(homes).withColumn("bucket", F.pmod(F.xxhash64("leaf"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(rerank, "ask long, entry long, score double")
+    near = visits.unionByName(homes).withColumn("bucket", F.pmod(F.xxhash64("leaf", "home", "part"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(rerank, "ask long, entry long, score double")
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     near = near.unionByName(searched.select(F.col("entry").alias("ask"), "entry", norm.alias("score")))  # copies of the query, wherever they lie
     first = Window.partitionBy("ask").orderBy(F.desc("score"), "entry")

@@ -1,19 +1,22 @@
-"""What the operators of this subpackage share: column passing, Arrow batches, shared scratch tables."""
+"""What the operators of this subpackage share: column passing, Arrow batches, shared scratch tables.
+
+Kept columns go through operators under names of their own (k0, k1, ...), by place: an input column may be named as
+anything, with dots, like an internal column or like another one.
+"""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import ship
+from ..sources.shared import shared_dir, ship
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text that a worker turns into numpy arrays at a time (one longer text is taken alone, whole).
@@ -32,7 +35,9 @@ BATCH_ROWS, DEFAULT_ROWS = "2000", "10000"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session, with this package on its workers and batches of whole texts that take little memory there."""
+    """The session, with this package on its workers and batches of whole texts that take little memory there. The
+    batch size is the session's from then on, for registered queries and pipeline stages; operators that are called
+    directly leave it as it is."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == DEFAULT_ROWS:
         spark.conf.set(name, BATCH_ROWS)
@@ -43,18 +48,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def clear_names(df: DataFrame, new: list[str]) -> DataFrame:
-    """Input columns whose names an operator needs for its results are kept as <name>_input."""
-    taken = {c.lower() for c in df.columns} | {n.lower() for n in new}
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def outer_names(names: list[str], new: list[str]) -> list[str]:
+    """Names under which kept columns come back: those that an operator needs for its results become <name>_input."""
+    taken = {c.lower() for c in names} | {n.lower() for n in new}
     lowered = {n.lower() for n in new}
-    for c in df.columns:
+    out = []
+    for c in names:
         if c.lower() in lowered:
-            to = f"{c}_input"
-            while to.lower() in taken:
-                to += "_"
-            taken.add(to.lower())
-            df = df.withColumnRenamed(c, to)
-    return df
+            c = f"{c}_input"
+            while c.lower() in taken:
+                c += "_"
+            taken.add(c.lower())
+        out.append(c)
+    return out
+
+
+def inner(df: DataFrame, keep: list[str], **more: Column) -> DataFrame:
+    """The kept columns as k0, k1, ... and the columns of `more`."""
+    return df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[x.alias(name) for name, x in more.items()])
+
+
+_kept: dict[int, tuple] = {}
+
+
+def once(shared, make: Callable):
+    """make(the broadcast's value), built once a worker, not once a task; few of them are kept at a time."""
+    value = shared.value
+    if id(value) not in _kept:
+        if len(_kept) >= 2:
+            _kept.clear()
+        _kept[id(value)] = (value, make(value))
+    return _kept[id(value)][1]
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
@@ -93,12 +122,13 @@ def map_rows(df: DataFrame, keep: list[str], text_col: str, new: list[T.StructFi
 
     Nothing is shuffled; one chunk of texts is held at a time.
     """
-    inner = clear_names(df.select(*[df[c] for c in dict.fromkeys(keep)], df[text_col].alias("__text")), [f.name for f in new])
-    kept = [f for f in inner.schema.fields if f.name != "__text"]
-    schema = T.StructType([*kept, *new])
+    ship(df.sparkSession)
+    keep = list(dict.fromkeys(keep))
+    held = inner(df, keep, text=col(text_col))
+    schema = T.StructType([*held.schema.fields[:-1], *new])
     kinds = [arrow_type(f.dataType) for f in new]
     names = [f.name for f in schema.fields]
-    n_kept = len(kept)
+    n_kept = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,19 +137,23 @@ def map_rows(df: DataFrame, keep: list[str], text_col: str, new: list[T.StructFi
                 out = work(texts.slice(a, b - a))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n_kept)), *made], names=names)
+                del out, made
             del batch, texts
             release()
 
-    return inner.mapInArrow(run, schema)
+    added = [f.name for f in new]
+    return held.mapInArrow(run, schema).toDF(*outer_names(keep, added), *added)
+
+
+#: Paths of the tables that this process has written for its own use, in order.
+_written: list[str] = []
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{tempfile.gettempdir()}/weft-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/weft/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/weft/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def hold(df: DataFrame, tag: str) -> DataFrame:
@@ -129,11 +163,22 @@ def hold(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many held tables there are, for drop_written(since=...)."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes held tables, but for those written before `since` and the last `keep`. To be called when the results of
+    the queries that wrote them have been read or written: results are lazy and read them."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
-
-
-def text_bytes(df: DataFrame, text_col: str = "text") -> int:
-    return df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0

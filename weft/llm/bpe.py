@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import clear_names, map_rows, release, table
+from ..sources.shared import ship
+from .base import inner, map_rows, once, outer_names, release, table
 from .words import HashTable, mix
 
 #: Pieces that a worker remembers when it begins a chunk, at most, bytes of text in a chunk, and rows decoded at a time.
@@ -199,14 +200,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
 
     With decoded, also `decoded`: the bytes that the ids decode to, in the same workers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # bounded: one vocabulary
-    cache: dict[int, Encoder] = {}
+    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))  # bounded: one vocabulary
 
     def work(texts: pa.Array) -> list:
-        if 0 not in cache:
-            cache[0] = Encoder(shared.value, pattern)
-        ids = cache[0].encode(texts)
-        return [ids, decoded_of(ids, shared.value)] if decoded else [ids]
+        ids = once(shared, lambda held: Encoder(*held)).encode(texts)
+        return [ids, decoded_of(ids, shared.value[0])] if decoded else [ids]
 
     return map_rows(docs, docs.columns if keep is None else keep, text_col, [IDS, DECODED] if decoded else [IDS], work, CHUNK)
 
@@ -214,8 +212,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
 def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """All columns and `decoded`, the bytes of the ids."""
     shared = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    inner = clear_names(coded, [DECODED.name])
-    at, names = inner.columns.index(ids_col), [*inner.columns, DECODED.name]
+    ship(coded.sparkSession)
+    held = inner(coded, coded.columns)
+    at, names = coded.columns.index(ids_col), [*held.columns, DECODED.name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(k, ROWS) for batch in batches for k in range(0, batch.num_rows, ROWS)):
@@ -223,7 +222,7 @@ def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame
             del part
             release()
 
-    return inner.mapInArrow(run, T.StructType([*inner.schema.fields, DECODED]))
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, DECODED])).toDF(*outer_names(coded.columns, [DECODED.name]), DECODED.name)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import map_rows, table, utf8
+from .base import map_rows, once, table, utf8
 from .license_texts import TEMPLATES
 from .words import ALNUM, find, grams, mix
 
@@ -163,12 +163,9 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """`keep` columns (all, if None), licenses (sorted names) and matches (spans in code points, the template's containment in the document)."""
     shared = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)  # bounded: the caller's templates
-    cache: dict[int, Scanner] = {}
 
     def work(texts: pa.Array) -> list:
-        if 0 not in cache:
-            cache[0] = Scanner(shared.value)
-        return cache[0].scan(texts)
+        return once(shared, Scanner).scan(texts)
 
     return map_rows(docs, docs.columns if keep is None else keep, text_col, NEW, work)
 

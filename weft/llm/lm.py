@@ -2,7 +2,8 @@
 
 N-gram counts (orders 1 to `order`) over all documents are tables partitioned by hash: blocks of the corpus send each
 bucket their distinct n-grams, buckets sum and answer (corpus.py), and the answers are joined to the block's n-grams
-and summed by document. A document is scored by the other ones: its own counts are taken off first, so a text that
+and summed by document. Rows of these tables are packed, some hundred n-grams in one, as plain rows don't fit the
+budget for shuffled bytes. A document is scored by the other ones: its own counts are taken off first, so a text that
 only repeats itself isn't likely. S(w | h) is c(hw) / c(h) if c(hw) > 0, else ALPHA times the score with the history's
 first word dropped; at the end c(w) / N, with c(w) at least FLOOR.
 
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import arrow_type, clear_names, table
-from .corpus import answer, answered, ask, blocks, hashes, n_buckets_of
+from .base import arrow_type, outer_names, release, table
+from .corpus import answered, blocks, exchange, hashes, words_of
 from .words import ALNUM, grams
 
 #: Highest order, weight of a step back, and the count that stands for an unknown word.
@@ -41,20 +42,18 @@ def all_grams(h: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.nda
     return out
 
 
-def score(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
+def score(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, **sizes) -> DataFrame:
     """`keep` columns of each row (all, if None), n_words, log_score (sum over words) and mean_log_score."""
-    keep = docs.columns if keep is None else keep
-    named = clear_names(docs.select(*keep, F.col(text_col).alias("__text")), [f.name for f in NEW])
-    kept = [c for c in named.columns if c != "__text"]
-    corpus = blocks(named, kept, "__text", ALNUM)
-    n_buckets = n_buckets_of(corpus, order)
-    total = corpus.agg(F.sum("n_words").alias("n")).first()["n"] or 0
+    keep = list(dict.fromkeys(docs.columns if keep is None else keep))
+    corpus = blocks(docs, keep, text_col, ALNUM)
+    total = words_of(corpus)
 
     def own(row: dict) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(np.concatenate([g for g, _ in all_grams(*hashes(row), order)]), return_counts=True)
 
-    told = answer(ask(corpus, n_buckets, own, np.uint64), np.uint64)
-    schema = T.StructType([*named.select(*kept).schema.fields, *NEW])
+    told, n_buckets, kind = exchange(corpus, total * order, own, True, **sizes)
+    kept = [f for f in corpus.schema["rows"].dataType.elementType.fields]
+    schema = T.StructType([*kept, *NEW])
     kinds = [arrow_type(f.dataType) for f in schema.fields]
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -65,7 +64,7 @@ def score(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text"
             doc = np.repeat(np.arange(len(size)), size)
             made = all_grams(h, first, order)
             keys, number = np.unique(np.concatenate([g for g, _ in made]), return_inverse=True)
-            counts = answered(keys, n_buckets, right, np.uint64)
+            counts = answered(keys, n_buckets, right, kind)
             rest = []  # by order and place: how often the n-gram occurs in other documents
             for (g, at), of in zip(made, np.split(number, np.cumsum([len(g) for g, _ in made])[:-1]), strict=True):
                 _, pair, mine = np.unique(doc[at] * max(1, len(keys)) + of, return_inverse=True, return_counts=True)
@@ -85,11 +84,14 @@ def score(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text"
             sums = np.bincount(doc, logs, len(size))
             rows = left.column("rows")[i].values
             mean = pa.array(sums / np.maximum(size, 1), mask=size == 0)
-            columns = [*(rows.field(c) for c in kept), pa.array(size), pa.array(sums), mean]
+            columns = [*(rows.field(f.name) for f in kept), pa.array(size), pa.array(sums), mean]
             parts.append(pa.table([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=[f.name for f in schema.fields]))
+            del made, keys, number, counts, rest
+            release()
         return pa.concat_tables(parts) if parts else pa.Table.from_batches([], pa.schema([(f.name, k) for f, k in zip(schema.fields, kinds, strict=True)]))
 
-    return corpus.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(summed, schema)
+    names = [f.name for f in NEW]
+    return corpus.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(summed, schema).toDF(*outer_names(keep, names), *names)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataFrame:

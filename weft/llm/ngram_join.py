@@ -7,13 +7,17 @@
    bits of a key stand for it within a bucket), which costs work but never a link.
 3. In the order of frequency and hash, two linking sets share a shingle among each one's first size - ceil(J * size) + 1.
    Classes that share such a shingle, and whose sizes allow a link, are connected; connected groups are independent.
+   Sizes are cut into slots in which a link spans two at most, so a shingle's classes need no order, and a hot one is
+   reduced in every task before it is shuffled.
 4. In a group, a signature tree over the classes (by size): each node has the OR of token bitmaps below it, the range
    of sizes and the least number of set bits. Two nodes are traversed together unless their sizes or the largest
    possible overlap rule out a link, or all below them is connected already; at the leaves, sets are intersected
-   exactly. A group of more than `group_keys` shingles is cut by size into parts. Each part is solved by itself; then
-   one member of each part's components meets those of the other parts; pairs of parts whose sizes allow a link
-   follow, but for pairs that are one component by then. No task holds more than two parts, and no link is lost; a
-   large group of near copies becomes one component before its parts are paired.
+   exactly. A group of more than `group_keys` shingles is dealt into parts by the least shingle of each class (near
+   copies mostly agree in it; a cluster that is itself too large is dealt by its classes' names). Each part is a
+   task; then one member of each part's components meets those of the other parts. What is left are shingles shared by
+   classes that aren't one component by then: for each pair of parts that has some, a task gets the classes that share
+   them, and no others. So no task holds more than about two parts, no pair of parts without a shared shingle is
+   looked at, and no link is lost.
 5. Links' components come from alternating stars; each row gets its class's component. Only a spanning set of links is
    made, never all pairs of a group.
 
@@ -26,6 +30,8 @@ Node names have 64 bits: among 5 * 10^9 candidate classes one expected collision
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +40,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import clear_names, hold, release, table
-from .corpus import answer, answered, ask, blocks, components, hashes, n_buckets_of
+from .base import hold, inner, outer_names, release, table
+from .corpus import answered, blocks, components, exchange, hashes, words_of
 from .route import split
 from .words import SPACED, grams, mix
 
 #: Similarity as a fraction, words of a shingle, and shingles of a part of a group.
-NUM, DEN, WORDS, GROUP_KEYS = 3, 4, 5, 4 << 20
-BITS, LEAF = 2048, 8
+NUM, DEN, WORDS, GROUP_KEYS = 3, 4, 5, 1 << 15
+BITS, LEAF = 2048, 2
 
 
 def least_overlap(n, num: int = NUM, den: int = DEN):
@@ -122,12 +128,13 @@ def may_link(x: tuple, y: tuple, num: int, den: int) -> bool:
     return most * (num + den) >= num * (la + lb)
 
 
-def tree_links(sets: list[np.ndarray], sizes: list[int], split: int | None = None, num: int = NUM, den: int = DEN, label: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], sizes: list[int], split: int | None = None, num: int = NUM, den: int = DEN, label: np.ndarray | None = None, seen: Counter | None = None) -> Iterator[tuple[int, int]]:
     """Links that connect all sets that links connect: of all pairs, or of pairs across `split` alone.
 
     A set is given by its ascending shingles, or by those that others have too, and by its whole size. Sets of equal
-    labels are connected already.
+    labels are connected already. `seen` counts pairs of nodes that were met, pruned, and pairs of sets intersected.
     """
+    seen = Counter() if seen is None else seen
     tree, label = Tree(sets, sizes), np.arange(len(sets)) if label is None else label.copy()
     root = (0, len(sets))
     stack = [(root, root)] if split is None else [((0, split), (split, len(sets)))]
@@ -136,13 +143,16 @@ def tree_links(sets: list[np.ndarray], sizes: list[int], split: int | None = Non
         same = (a, b) == (c, d)
         if a == b or c == d or (label[a] == label[c] and (label[a:b] == label[a]).all() and (label[c:d] == label[a]).all()):
             continue
+        seen["met"] += 1
         if not same and not may_link(tree.node(a, b), tree.node(c, d), num, den):
+            seen["pruned"] += 1
             continue
         if b - a <= LEAF and d - c <= LEAF:
             for i in range(a, b):
                 for j in range(i + 1 if same else c, d):
                     if label[i] == label[j] or not may_link(tree.node(i, i + 1), tree.node(j, j + 1), num, den):
                         continue
+                    seen["intersected"] += 1
                     x, y = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
                     at = np.searchsorted(y, x)
                     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
@@ -193,98 +203,108 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(of, "node", "left").withColumn("label", F.coalesce("__label", "node")).drop("__label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, words: int = WORDS, num: int = NUM, den: int = DEN, group_keys: int = GROUP_KEYS) -> DataFrame:
+def _one_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, ...), the first of each node that a task meets."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for i, node in enumerate(batch.column(0).to_pylist()):
+            if node not in seen:
+                seen.add(node)
+                new.append(i)
+        yield batch.take(pa.array(new, pa.int64()))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, words: int = WORDS, num: int = NUM, den: int = DEN, group_keys: int = GROUP_KEYS, **sizes) -> DataFrame:
     """`keep` columns of each row (the id alone, if None), n_shingles, component_id and component (a number of its own;
     null for an empty set)."""
-    named = clear_names(docs.select(*dict.fromkeys([id_col, *(keep or [])]), F.col(text_col).alias("__text")), ["n_shingles", "component_id", "component", "__fp1", "__fp2"])
-    kept = [c for c in named.columns if c != "__text"]
-    id_name = kept[0]
+    keep = list(dict.fromkeys([id_col, *(keep or [])]))
 
     def sets(h: np.ndarray, first: np.ndarray) -> list:
         keys, at = shingle_sets(h, first, words)
         return [np.diff(at), *fingerprints(keys, at)]
 
-    corpus = blocks(named, kept, "__text", SPACED, [T.StructField(c, T.LongType()) for c in ("n_shingles", "__fp1", "__fp2")], sets)
-    n_buckets = n_buckets_of(corpus)
+    corpus = blocks(docs, keep, text_col, SPACED, [T.StructField(c, T.LongType()) for c in ("n_shingles", "fp1", "fp2")], sets)
 
     def own(row: dict) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(_one_each(*shingle_sets(*hashes(row), words))[0], return_counts=True)
 
-    asked = ask(corpus, n_buckets, own, np.uint32)
+    told, n_buckets, kind = exchange(corpus, words_of(corpus), own, False, **sizes)
 
     def living(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for row in left.to_pylist():
             flat, first, names = _one_each(*shingle_sets(*hashes(row), words))
             distinct, at = np.unique(flat, return_inverse=True)
-            often = np.minimum(answered(distinct, n_buckets, right, np.uint32), 65535)[at].astype(np.int64)
+            often = np.minimum(answered(distinct, n_buckets, right, kind), 65535)[at].astype(np.int64)  # an order alone
             n, shared = np.diff(first), np.add.reduceat((often > 1).astype(np.int64), first[:-1]) if len(names) else np.zeros(0, np.int64)
             for d in np.flatnonzero(shared >= least_overlap(n, num, den)).tolist():
                 k, f = flat[first[d] : first[d + 1]], often[first[d] : first[d + 1]]
                 k, f = k[f > 1], f[f > 1]
                 order = np.lexsort((k, f))[: int(len(k) - least_overlap(int(n[d]), num, den) + 1)]
-                out.append((int(names[d]), int(n[d]), k.tobytes(), k[order].view(np.int64)))
+                out.append((int(names[d]), int(n[d]), int(k[0].view(np.int64)), k.tobytes(), k[order].view(np.int64)))
             del flat, distinct, at, often
             release()
-        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))], names=["node", "n", "keys", "prefix"])
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "least", "keys", "prefix"])
 
-    told = answer(asked, np.uint32)
     need = corpus.select("block", "first", "vocab", "codes")
-    live = hold(need.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(living, "node long, n long, keys binary, prefix array<long>"), "live")
-
-    # Classes that share a prefix shingle: runs of sizes that allow a link are stars around their first.
-    by_key = Window.partitionBy("key").orderBy("n", "node")
-    sharing = live.select("node", "n", F.explode("prefix").alias("key")).distinct()
-    sharing = sharing.withColumn("cut", (F.coalesce(F.lag("n").over(by_key), F.lit(0)) * den < F.col("n") * num).cast("int"))
-    sharing = sharing.withColumn("run", F.sum("cut").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.first("node").over(Window.partitionBy("key", "run").orderBy("n", "node"))
-    groups = components(sharing.select(F.col("node").alias("src"), head.alias("dst")))
-    member = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
-
-    member = hold(member.withColumnRenamed("component", "grp"), "member")
-    near = split(live.select("node", "n", "keys"), F.col("node"), member, "node")[1]  # others surely have no partner
-    found = near.select("node", "n", "keys").join(member, "node")
-    # Large groups, of which there are at most (all keys / group_keys), are cut by size into parts.
-    narrow = live.select("node", "n").distinct().join(member, "node")
-    big = narrow.groupBy("grp").agg(F.sum("n").alias("all")).filter(F.col("all") > group_keys).select("grp")
-    running = F.sum("n").over(Window.partitionBy("grp").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
-    parts = hold(narrow.join(F.broadcast(big), "grp").select("grp", "node", "n", F.floor(F.coalesce(running, F.lit(0)) / group_keys).cast("int").alias("part")), "parts")
+    live = hold(need.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(living, "node long, n long, least long, keys binary, prefix array<long>"), "live")
+
+    # Classes that share a prefix shingle: a class is in its slot of sizes and in the next one, so two that may link meet.
+    slot = F.floor(F.log("n") / (1.1 * math.log(den / num))).cast("int") if num < den else F.lit(0)
+    sharing = live.select("node", F.explode("prefix").alias("key"), slot.alias("slot")).select("node", "key", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    heads = sharing.groupBy("key", "slot").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
+    groups = components(sharing.join(heads, ["key", "slot"]).select(F.col("node").alias("src"), F.col("head").alias("dst")))
+    member = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "grp")
+
+    # Parts of groups, by narrow rows; sums are taken per task first.
+    narrow = live.select("node", "n", "least").distinct().join(member, "node")
+    parts_of = lambda n: F.ceil(F.col(n) / group_keys)
+    wide = narrow.groupBy("grp").agg(F.sum("n").alias("all")).select("grp", parts_of("all").alias("n_parts"))
+    clusters = narrow.groupBy("grp", "least").agg(F.sum("n").alias("own")).select("grp", "least", parts_of("own").alias("n_own"))
+    part = F.when(F.col("n_parts") == 1, 0).otherwise(F.pmod(F.xxhash64("least", F.pmod(F.xxhash64("node"), F.col("n_own"))), F.col("n_parts")))
+    member = hold(narrow.join(wide, "grp").join(clusters, ["grp", "least"]).select("node", "n", "grp", part.cast("int").alias("part"), (F.col("n_parts") > 1).alias("large")), "member")
+    near = split(live.select("node", "keys"), F.col("node"), member, "node")[1]  # others surely have no partner
+    found = near.select("node", "keys").mapInArrow(_one_a_task, "node long, keys binary").join(member, "node")
 
     def solved(tasks: DataFrame) -> DataFrame:
         dealt = tasks.select("grp", "i", "j", "part", "n", "node", "label", "keys").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
         return dealt.mapInArrow(_links(num, den), "src long, dst long")
 
-    zero, alone = F.lit(0), F.col("node")
-    links = solved(found.join(F.broadcast(big), "grp", "left_anti").select("*", zero.alias("i"), zero.alias("j"), zero.alias("part"), alone.alias("label")))
-    if not parts.isEmpty():
-        large = hold(found.join(parts.select("node", "part"), "node"), "large")
-        met = hold(solved(large.select("*", F.col("part").alias("i"), F.col("part").alias("j"), alone.alias("label"))), "links")
-        labelled = _labelled(parts, met)
+    zero, alone = F.lit(0), F.col("node").alias("label")
+    links = solved(found.select("*", F.col("part").alias("i"), F.col("part").alias("j"), alone))
+    large = member.filter("large").select("node", "n", "grp", "part")
+    if not large.isEmpty():
+        held = hold(found.filter("large").select("node", "n", "grp", "part", "keys"), "large")
+        links = hold(links, "links")
         # One member of each component of a part meets the others, where those are no more than a part holds.
-        chosen = labelled.groupBy("grp", "part", "label").agg(F.min(F.struct("n", "node")).alias("m")).select("grp", "label", "m.*")
+        chosen = _labelled(large, links).groupBy("grp", "part", "label").agg(F.min(F.struct("n", "node")).alias("m")).select("grp", "label", "m.*")
         few = chosen.groupBy("grp").agg(F.sum("n").alias("all")).filter(F.col("all") <= group_keys).select("grp")
         chosen = chosen.join(few, "grp", "left_semi").select("node", "label")
-        met = hold(met.unionByName(solved(large.join(chosen, "node").withColumn("part", zero).select("*", zero.alias("i"), zero.alias("j")))), "links")
-        labelled = hold(_labelled(parts, met), "labelled")
-        ranges = labelled.groupBy("grp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
-        x, y = ranges.alias("x"), ranges.alias("y")
-        apart = F.least("x.first", "y.first") != F.greatest("x.last", "y.last")
-        sizes = F.col("x.hi") * den >= F.col("y.lo") * num
-        pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.part") < F.col("y.part")) & sizes & apart).select(F.col("x.grp").alias("grp"), F.col("x.part").alias("i"), F.col("y.part").alias("j"))
-        in_tasks = pairs.select("grp", "i", "j", F.explode(F.array("i", "j")).alias("part"))
-        across = large.join(labelled.select("node", "label"), "node").join(in_tasks, ["grp", "part"])
-        links = links.unionByName(met).unionByName(solved(across))
+        links = hold(links.unionByName(solved(held.join(chosen, "node").withColumn("part", zero).select("*", zero.alias("i"), zero.alias("j")))), "links")
+        # Shingles of classes that still aren't one component: the parts that share one, and these classes.
+        labelled = hold(_labelled(large, links).select("node", "grp", "part", "label"), "labelled")
+        apart = sharing.join(labelled, "node")
+        mixed = apart.groupBy("key", "slot").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key", "slot")
+        apart = apart.join(mixed, ["key", "slot"]).select("key", "slot", "node", "part").distinct()
+        where = apart.select("key", "slot", "part").distinct()
+        pairs = where.withColumnRenamed("part", "i").join(where.withColumnRenamed("part", "j"), ["key", "slot"]).filter("i < j")
+        tasks = apart.join(pairs, ["key", "slot"]).filter("part = i or part = j").select("node", "i", "j").distinct()
+        links = links.unionByName(solved(held.join(labelled.select("node", "label"), "node").join(tasks, "node")))
     linked = components(links)
 
     rows = corpus.select(F.explode("rows").alias("r")).select("r.*")
-    classes = rows.filter("n_shingles > 0").groupBy("__fp1", "__fp2", "n_shingles").agg(F.min(id_name).alias("least"))
-    joins = linked.select(F.col("node").alias("__fp1"), F.col("component").alias("linked"))
-    of_class = classes.join(joins, "__fp1", "left").withColumn("component", F.coalesce("linked", "__fp1"))
-    of_group = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = of_class.select("__fp1", "__fp2", "n_shingles", "component").join(of_group, "component")
-    joined = rows.join(final, ["__fp1", "__fp2", "n_shingles"], "left")
-    return joined.select(*[f"`{c}`" for c in kept], "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(f"`{id_name}`")).alias("component_id"), "component")
+    classes = rows.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("k0").alias("first_id"))
+    joins = linked.select(F.col("node").alias("fp1"), F.col("component").alias("linked"))
+    of_class = classes.join(joins, "fp1", "left").withColumn("component", F.coalesce("linked", "fp1"))
+    of_group = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    final = of_class.select("fp1", "fp2", "n_shingles", "component").join(of_group, "component")
+    joined = rows.join(final, ["fp1", "fp2", "n_shingles"], "left")
+    new = ["n_shingles", "component_id", "component"]
+    ids = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("k0"))
+    return joined.select(*[f"k{i}" for i in range(len(keep))], "n_shingles", ids, "component").toDF(*outer_names(keep, new), *new)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -293,17 +313,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that stay whatever the join found aren't shuffled: a row is known by the hash of its id and text, and only
     rows that may have to go are joined (route.py). Of rows equal in both, one stays.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    found = near_duplicates(docs.withColumn("__row", key), id_col, text_col, ["__row"], **options).filter("n_shingles > 0").withColumnRenamed(id_col, "__id")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("first"))
-    rows = found.groupBy("component", "__row").agg(F.count("*").alias("n")).join(first, "component")
-    stays = F.col("first.__row") == F.col("__row")
-    few = hold(rows.select("__row", stays.alias("stays"), "n").filter(~F.col("stays") | (F.col("n") > 1)).select("__row", "stays"), "repeats")
-    clean, rest = split(docs, key, few, "__row")
-    met = rest.join(few, rest["__key"] == few["__row"], "left")
-    own = [f"`{c}`" for c in docs.columns]
+    flat, own = inner(docs, docs.columns), [f"k{i}" for i in range(len(docs.columns))]
+    id_name, text_name = (own[docs.columns.index(c)] for c in (id_col, text_col))
+    key = F.xxhash64(F.col(id_name), F.col(text_name))
+    found = near_duplicates(flat.select(F.col(id_name).alias("id"), F.col(text_name).alias("text"), key.alias("row")), "id", "text", ["row"], **options).filter("n_shingles > 0")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    rows = found.groupBy("component", "row").agg(F.count("*").alias("n")).join(first, "component")
+    stays = F.col("first.row") == F.col("row")
+    few = hold(rows.select("row", stays.alias("stays"), "n").filter(~F.col("stays") | (F.col("n") > 1)).select("row", "stays"), "repeats")
+    clean, rest = split(flat, key, few, "row")
+    met = rest.join(few, rest["__key"] == few["row"], "left")
     again = met.filter("stays").dropDuplicates(["__key"])
-    return clean.select(*own).unionByName(met.filter("stays is null").select(*own)).unionByName(again.select(*own))
+    return clean.select(*own).unionByName(met.filter("stays is null").select(*own)).unionByName(again.select(*own)).toDF(*docs.columns)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

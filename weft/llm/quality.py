@@ -11,7 +11,7 @@ the sample and the tables, which are broadcast, have a bounded size. Scoring rea
 
 Defined results: a null or empty text has the features of an empty text; without labelled rows every score is 0.5, with
 rows of one class alone it is near that class; an id with several labels counts by the lowest, an id with several texts
-by one of them; null ids have no label; repeated documents each get their own row; input columns named as a result
+by the one of the least features; null ids have no label; repeated documents each get their own row; input columns named as a result
 column come back as <name>_input.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import map_rows, table, utf8
+from .base import col, map_rows, table, utf8
 from .words import SPACED, classes, find
 
 LINES = classes(b"\n", lower=False)
@@ -193,11 +193,11 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: Column | None = None, max_rows: int = MAX_ROWS, **options) -> Additive:
     """From labelled rows that `rows`, a condition on id_col, admits; max_rows of them at most."""
     rows = F.lit(True) if rows is None else rows
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & rows).groupBy(id_col).agg(F.min(label_col).alias("label"))
-    marks = marks.orderBy(F.xxhash64(id_col, F.lit(9)), id_col).limit(max_rows)
-    own = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(marks), id_col)  # bounded by max_rows
-    seen = map_rows(own, [id_col, "label"], "__text", NEW[:1], lambda texts: [list(features(texts))])
-    held = seen.groupBy(id_col).agg(F.first(F.struct("label", "features")).alias("r")).select("r.*").toArrow()
+    marks = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull() & rows).groupBy(col(id_col).alias("id")).agg(F.min(col(label_col)).alias("label"))
+    marks = marks.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(max_rows)
+    own = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(marks), "id")  # bounded by max_rows
+    seen = map_rows(own, ["id", "label"], "text", NEW[:1], lambda texts: [list(features(texts))])
+    held = seen.groupBy("id").agg(F.min(F.struct("label", "features")).alias("r")).orderBy(F.xxhash64("id", F.lit(9)), "id").select("r.*").toArrow()
     x = np.array(held.column("features").to_pylist(), np.float32).reshape(-1, len(FEATURES))
     return train(x, (held.column("label").to_numpy() > 0).astype(float), **options)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import clear_names, exists, map_rows, scratch, table
+from .base import col, exists, inner, map_rows, outer_names, scratch, table
 from .route import split
 
 #: The base rules' patterns (letters of assign's names in either case) and least lengths.
@@ -31,7 +31,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # each run of [0-9a-f] is one leftmost match, kept from 24 characters on
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", re.ASCII)
+#: jwt: eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+, found by its dotted runs in linear time
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+", re.ASCII)
 KINDS = ("assign", "access", "hex", "pem", "jwt")
 BASE_KINDS = KINDS[:3]
 RULE_VERSION = "1"
@@ -39,6 +40,26 @@ NAMES = re.compile(r"passw|secret|token|api", re.ASCII | re.IGNORECASE)
 FINDINGS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+def tokens_in(text: str) -> list[tuple[int, int]]:
+    """Spans of jwt, leftmost and not overlapping: of a run's parts between dots, three in a row, of which the first one
+    has eyJ and more behind it, and the second one begins so."""
+    found = []
+    for run in DOTTED.finditer(text):
+        parts, starts, at = run[0].split("."), [], run.start()
+        for p in parts:
+            starts.append(at)
+            at += len(p) + 1
+        k = 0
+        while k + 2 < len(parts):
+            lead = parts[k].find("eyJ")
+            if 0 <= lead < len(parts[k]) - 3 and parts[k + 1].startswith("eyJ") and len(parts[k + 1]) > 3:
+                found.append((starts[k] + lead, starts[k + 2] + len(parts[k + 2])))
+                k += 3
+            else:
+                k += 1
+    return found
+
+
 def scan_text(text: str) -> list[tuple[str, int, int]]:
     found = []
     if NAMES.search(text):
@@ -49,7 +70,7 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     if "PRIVATE KEY-----" in text:
         found += [("pem", *m.span()) for m in PEM.finditer(text)]
     if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in JWT.finditer(text)]
+        found += [("jwt", a, b) for a, b in tokens_in(text)]
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 
@@ -73,16 +94,15 @@ def scan_new(blobs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
 
 def scan_secrets(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns of each row (all, if None), blob_id and findings. Without a ledger's path a new one is begun."""
-    keep = docs.columns if keep is None else keep
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    keep = list(dict.fromkeys(docs.columns if keep is None else keep))
+    text = F.coalesce(col(text_col), F.lit(""))
     ledger = ledger or scratch(docs.sparkSession, "ledger")
     rows = scan_new(docs.select(F.sha2(text, 256).alias("blob_id"), text.alias("text")), ledger, rule_version)
-    hits = rows.filter(F.size("findings") > 0).select(F.col("blob_id").alias("__blob"), "findings")
-    named = clear_names(docs.select(*keep), ["blob_id", "findings"])
-    own = [f"`{c}`" for c in named.columns]
-    at = docs.select(*[F.col(c).alias(o) for c, o in zip(keep, named.columns, strict=True)], F.sha2(text, 256).alias("blob_id"))
-    joined = at.join(hits, at["blob_id"] == hits["__blob"], "left")
-    return joined.select(*own, "blob_id", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    hits = rows.filter(F.size("findings") > 0).select(F.col("blob_id").alias("blob"), "findings")
+    at = inner(docs, keep, blob_id=F.sha2(text, 256))
+    joined = at.join(hits, at["blob_id"] == hits["blob"], "left")
+    made = joined.select(*[f"k{i}" for i in range(len(keep))], "blob_id", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return made.toDF(*outer_names(keep, ["blob_id", "findings"]), "blob_id", "findings")
 
 
 def masked(text: Column, findings: Column) -> Column:
@@ -100,15 +120,17 @@ def redact(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_
     """All rows and columns of docs, secrets replaced in the text; a text without any comes back unchanged.
 
     Texts without findings aren't shuffled again: only rows whose blob may have some are joined (route.py)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    flat, own = inner(docs, docs.columns), [f"k{i}" for i in range(len(docs.columns))]
+    name = own[docs.columns.index(text_col)]
+    text = F.coalesce(F.col(name), F.lit(""))
     blob = F.sha2(text, 256)
     ledger = ledger or scratch(docs.sparkSession, "ledger")
-    rows = scan_new(docs.select(blob.alias("blob_id"), text.alias("text")), ledger, rule_version)
-    hits = rows.filter(F.size("findings") > 0).select(F.col("blob_id").alias("__blob"), F.col("findings").alias("__findings"), F.xxhash64("blob_id").alias("__hit"))
-    clean, rest = split(docs, F.xxhash64(blob), hits, "__hit")
-    found = rest.join(hits, (rest["__key"] == hits["__hit"]) & (F.sha2(F.coalesce(rest[text_col], F.lit("")), 256) == hits["__blob"]), "left")
-    columns = [F.when(F.col("__findings").isNull(), F.col(f"`{c}`")).otherwise(masked(F.col(f"`{c}`"), F.col("__findings"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return clean.select(*[f"`{c}`" for c in docs.columns]).unionByName(found.select(*columns))
+    rows = scan_new(flat.select(blob.alias("blob_id"), text.alias("text")), ledger, rule_version)
+    hits = rows.filter(F.size("findings") > 0).select(F.col("blob_id").alias("blob"), "findings", F.xxhash64("blob_id").alias("hit"))
+    clean, rest = split(flat, F.xxhash64(blob), hits, "hit")
+    found = rest.join(hits, (rest["__key"] == hits["hit"]) & (F.sha2(F.coalesce(rest[name], F.lit("")), 256) == hits["blob"]), "left")
+    columns = [F.when(F.col("findings").isNull(), F.col(c)).otherwise(masked(F.col(c), F.col("findings"))).alias(c) if c == name else F.col(c) for c in own]
+    return clean.select(*own).unionByName(found.select(*columns)).toDF(*docs.columns)
 
 
 def joined_spans(findings: Column) -> Column:

@@ -1,14 +1,19 @@
 """Sharding by a two-pass external shuffle, in DataFrame operations alone.
 
 Pass 1 scatters whole records into buckets by a seeded hash. The number of buckets follows from the table's bytes, so
-that one holds about `bucket_bytes`, at any size of the table. Pass 2 puts each bucket into a seeded Fisher-Yates
-order (Spark's shuffle() of the bucket's sorted list, so a retried task gives the same order) and writes it. Buckets
-one after the other are then a uniform permutation of all records, and shards are equal runs of it: counts differ by
-one at most (the law `rows`), and a bucket's records lie in few shards, so pass 2 writes few files.
+that one holds about `bucket_bytes`, at any size of the table. Pass 2 puts each bucket into the order of a second
+seeded hash, by a sort that can spill, and writes it. Buckets one after the other are then a uniform permutation of all
+records, and shards are equal runs of it: counts differ by one at most (the law `rows`), and a bucket's records lie in
+few shards, so pass 2 writes few files.
 
-The hash takes the record's id, its text's checksum and the place of the row in the input, so equal records, or a
-third of all records under one id, spread like others. A bucket's size is binomial around its mean; nothing is
-capped.
+An order by independent hashes has the distribution of a Fisher-Yates shuffle. Spark's shuffle(), which is one, takes
+its random numbers by the task that it runs in: the same bucket would come out differently under another partitioning,
+or in a task that is run again; so it isn't used.
+
+The hashes take all columns of a record (maps as lists of their entries) and, of equal records, a number from 0: equal
+records are reduced to one row with their count in every task before they are shuffled, and made again behind it. So
+the result depends on the records and the seed alone, whatever the input's partitions are, and a third of all records
+that are equal spread like others. A bucket's size is binomial around its mean; nothing is capped.
 
 Defined results: a null text has no bytes and checksum 0; null ids are records like others; repeated rows each get
 their own slot; an empty table gives empty shards; input columns named as a result column come back as <name>_input.
@@ -16,45 +21,80 @@ their own slot; an empty table gives empty shards; input columns named as a resu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import clear_names, hold, scratch, table
+from .base import col, hold, inner, outer_names, scratch, table
 
 #: Bytes of records in a bucket, and shards of the registered query.
-BUCKET_BYTES, SHARDS = 8 << 20, 24
-#: Buckets up to which their offsets, 16 bytes each, are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_BUCKETS = 100_000
+BUCKET_BYTES, SHARDS = 16 << 20, 24
+#: Tasks that order buckets, at most; with more buckets, a task orders several, by one sort that spills.
+MOST_TASKS = 100_000
+#: Rows up to which offsets of buckets, or hashes of repeated records, are broadcast (16 bytes each); beyond, a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def size_of(text: str):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def assign(docs: DataFrame, n_shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def comparable(c: Column, kind: T.DataType) -> Column:
+    """The value with maps as arrays of their entries, so that it can be hashed."""
+    if isinstance(kind, T.MapType):
+        return F.transform(F.map_entries(c), lambda e: F.struct(comparable(e["key"], kind.keyType).alias("key"), comparable(e["value"], kind.valueType).alias("value")))
+    if isinstance(kind, T.ArrayType) and _has_map(kind):
+        return F.transform(c, lambda e: comparable(e, kind.elementType))
+    if isinstance(kind, T.StructType) and _has_map(kind):
+        return F.struct(c.isNull().alias("none"), *[comparable(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)])
+    return c
+
+
+def _has_map(kind: T.DataType) -> bool:
+    inside = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, T.MapType) or any(map(_has_map, inside))
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def numbered(records: DataFrame, own: list[str], seed: int) -> DataFrame:
+    """All records with h1 and h2, hashes of what a record is, and number: of equal records, from 0."""
+    flat = [comparable(F.col(f.name), f.dataType) for f in records.schema.fields]
+    hashed = records.select(*own, F.xxhash64(F.lit(seed), *flat).alias("h1"), F.xxhash64(F.lit(seed + 1), *flat).alias("h2"))
+    again = hold(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "repeats")
+    n = again.count()
+    if not n:
+        return hashed.withColumn("number", F.lit(0))
+    once = hashed.join(few(again, n), ["h1", "h2"], "left_anti").withColumn("number", F.lit(0))
+    equal = hashed.join(few(again, n), ["h1", "h2"], "left_semi").groupBy(*own, "h1", "h2").agg(F.count("*").cast("int").alias("n"))
+    return once.unionByName(equal.select(*own, "h1", "h2", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("number")))
+
+
+def assign(docs: DataFrame, n_shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
     """All columns of docs, shard (from 0) and slot (gapless from 0 in each shard), by the law `rows`."""
-    docs = clear_names(docs, ["shard", "slot"])
-    total = docs.agg(F.sum(size_of(text_col)).alias("n")).first()["n"] or 0
+    total = docs.select(col(text_col).alias("text")).agg(F.sum(size_of("text")).alias("n")).first()["n"] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
-    checksum = F.crc32(F.coalesce(F.col(text_col), F.lit("")))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), checksum, F.monotonically_increasing_id())
-    record = F.struct(F.col("__key"), *[F.col(f"`{c}`") for c in docs.columns])
-    scattered = docs.withColumn("__key", key).select(F.pmod("__key", F.lit(n_buckets)).alias("__bucket"), record.alias("record"))
-    mixed = F.shuffle(F.sort_array(F.collect_list("record")), F.lit(seed))
-    placed = scattered.groupBy("__bucket").agg(mixed.alias("records")).select("__bucket", F.posexplode("records").alias("__place", "record"))
-    placed = hold(placed.select("__bucket", "__place", *[F.col("record").getField(c).alias(c) for c in docs.columns]), "shards")
-    counts = placed.groupBy("__bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__all"))
-    placed = placed.join(F.broadcast(offsets) if n_buckets <= BROADCAST_BUCKETS else offsets, "__bucket")
-    at = F.col("__before") + F.col("__place")
-    each, more = F.floor(F.col("__all") / n_shards), F.col("__all") % n_shards
+    records = inner(docs, docs.columns)
+    own = records.columns
+    keyed = numbered(records, own, seed)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "h1", "h2", "number"), F.lit(n_buckets))
+    scattered = keyed.select(*own, "h1", "h2", "number", bucket.alias("bucket"), F.xxhash64(F.lit(seed + 2), "h1", "h2", "number").alias("at"))
+    counts = hold(scattered.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over one row a bucket
+    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    everything = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    mixed = Window.partitionBy("bucket").orderBy("at", "h1", "h2", "number")
+    placed = scattered.repartition(min(n_buckets, MOST_TASKS), "bucket").withColumn("place", F.row_number().over(mixed) - 1).join(few(offsets, n_buckets), "bucket")
+    at = F.col("before") + F.col("place")
+    each, more = everything // n_shards, everything % n_shards
     long_run = more * (each + 1)  # the first shards have one record more
-    early = at < long_run
-    rest = F.greatest(each, F.lit(1))
+    early, rest = at < long_run, max(each, 1)
     shard = F.when(early, F.floor(at / (each + 1))).otherwise(more + F.floor((at - long_run) / rest))
     slot = F.when(early, at % (each + 1)).otherwise((at - long_run) % rest)
-    return placed.select(*[f"`{c}`" for c in docs.columns], shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    new = ["shard", "slot"]
+    return placed.select(*own, shard.cast("int"), slot.cast("long")).toDF(*outer_names(docs.columns, new), *new)
 
 
 def write_shards(docs: DataFrame, path: str | None = None, **options) -> str:

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import map_rows, table, utf8_chunks
+from ..sources.shared import ship
+from .base import col, map_rows, once, table, utf8_chunks
 from .words import ALNUM, HashTable, Words, find, mix
 
 ORDER, DISCOUNT, TAILS, LEAST_TAIL = 6, 0.75, (1.0, 2.0, 3.5, 5.0), 0.003
@@ -146,26 +147,27 @@ def _thinned(rows: DataFrame, id_col: str, amounts: dict[int, float], limit: flo
     share = F.lit(0.0)
     for label, part in shares.items():
         share = F.when(F.col("label") == label, F.lit(part)).otherwise(share)
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)), shares
+    return rows.filter(F.pmod(F.xxhash64(id_col, F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)), shares
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: Column, max_rows: int, max_bytes: int) -> DataFrame:
-    """(label, weight, __text) of labelled rows that `rows` admits: of each label about max_rows and max_bytes of text at
+    """(label, weight, text) of labelled rows that `rows` admits: of each label about max_rows and max_bytes of text at
     most; weight is the inverse of the label's share that was taken. The ids are broadcast, so no text is shuffled."""
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & rows).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("label"))
+    marks = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull() & rows).groupBy(col(id_col).alias("id")).agg((F.max(col(label_col)) > 0).cast("int").alias("label"))
     counts = {r["label"]: float(r["count"]) for r in marks.groupBy("label").count().collect()}  # two rows
-    marks, by_rows = _thinned(marks, id_col, counts, max_rows, 5)
-    own = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(marks), id_col).filter("__text is not null")  # bounded by max_rows
-    sizes = {r["label"]: float(r["n"] or 0) for r in own.groupBy("label").agg(F.sum(F.octet_length("__text")).alias("n")).collect()}
-    own, by_bytes = _thinned(own, id_col, sizes, max_bytes, 6)
+    marks, by_rows = _thinned(marks, "id", counts, max_rows, 5)
+    own = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(marks), "id").filter("text is not null")  # bounded by max_rows
+    sizes = {r["label"]: float(r["n"] or 0) for r in own.groupBy("label").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    own, by_bytes = _thinned(own, "id", sizes, max_bytes, 6)
     weight = F.lit(0.0)
     for label, part in by_bytes.items():
         weight = F.when(F.col("label") == label, F.lit(1 / (part * by_rows[label]))).otherwise(weight)
-    return own.select("label", weight.alias("weight"), "__text")
+    return own.select("label", weight.alias("weight"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", count_rows: Column | None = None, scale_rows: Column | None = None, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
     """count_rows and scale_rows: which labelled rows (conditions on id_col) the counts and the logistic function see."""
+    ship(docs.sparkSession)
     count_rows, scale_rows = (F.lit(True) if c is None else c for c in (count_rows, scale_rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,19 +182,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 yield pa.RecordBatch.from_pydict({"key": grams.view(np.int64), "t": n[0], "o": n[1]})
 
     own = labelled(docs, labels, label_col, id_col, text_col, count_rows, train_rows, train_bytes)
-    counts = own.select("label", "__text").mapInArrow(count, "key long, t long, o long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counts = own.select("label", "text").mapInArrow(count, "key long, t long, o long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     held = counts.toArrow()  # bounded by train_bytes: an entry for each byte counted at most
     keys, t, o = (held.column(c).to_numpy() for c in ("key", "t", "o"))
     model = train(keys.view(np.uint64), t, o)
     if not t.any() or not o.any():
         model.gap[:] = 0
-        share = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (count_rows | scale_rows)).agg(F.avg(F.col(label_col).cast("double")).alias("p")).first()["p"] or 0.0
+        share = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull() & (count_rows | scale_rows)).agg(F.avg(col(label_col).cast("double")).alias("p")).first()["p"] or 0.0
         p = min(max(share, 1e-9), 1 - 1e-9)
         model.weights = np.array([*[0.0] * len(STATISTICS), np.log(p / (1 - p))])
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = labelled(docs, labels, label_col, id_col, text_col, scale_rows, train_rows, train_bytes)
-    seen = map_rows(rest, ["label", "weight"], "__text", NEW[:-1], lambda texts: scorer_of(shared.value)(texts)).toArrow()
+    seen = map_rows(rest, ["label", "weight"], "text", NEW[:-1], lambda texts: once(shared, scorer)(texts)).toArrow()
     y = seen.column("label").to_numpy() > 0
     x = np.column_stack(scaled([seen.column(c).to_numpy() for c in STATISTICS]))
     if y.any() and not y.all():
@@ -202,24 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return model
 
 
-_scorers: dict[int, tuple] = {}
-
-
-def scorer_of(model: Model):
-    """The scorer of a model, built once a worker."""
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = (model, scorer(model))
-    return _scorers[id(model)][1]
-
-
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """`keep` columns (all, if None), STATISTICS, and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train_bytes
 
     def work(texts: pa.Array) -> list:
-        m = shared.value
-        x = scorer_of(m)(texts)
+        m, x = shared.value, once(shared, scorer)(texts)
         z = sum(a * b for a, b in zip(scaled(x), m.weights[:-1], strict=True)) + m.weights[-1]
         return [*x, 1 / (1 + np.exp(-np.clip(z, -60, 60)))]
 

@@ -1,14 +1,20 @@
-"""Words and their 64-bit hashes for whole Arrow batches, byte by byte in numpy."""
+"""Words and their 64-bit hashes for whole Arrow batches, byte by byte in numpy.
+
+A word's hash is a polynomial of its bytes, mixed; words of more than LONG bytes, of which texts could be made whose
+polynomials agree, have 64 bits of BLAKE2b.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 from .base import utf8
 
+LONG = 256
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = [np.zeros(0, np.uint64)]
@@ -73,11 +79,13 @@ def find(texts: pa.Array, kinds: tuple[np.ndarray, np.ndarray], hashed: bool = T
         lead = np.cumsum(size) - size
         place = np.arange(size.sum(), dtype=np.int32)
         place -= np.repeat(lead.astype(np.int32), size)
-        signs = powers(int(size.max()))[place]
+        signs = powers(min(int(size.max()), LONG + 1))[np.minimum(place, LONG)]
         del place
         signs *= low[part].astype(np.uint64) + np.uint64(1)
         h = np.add.reduceat(signs, lead)
         h = mix(h + size.astype(np.uint64) * STEP)
+        for k in np.flatnonzero(size > LONG).tolist():
+            h[k] = int.from_bytes(blake2b(low[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
     return Words(low, offsets, start, end, h, np.searchsorted(start, offsets))
 
 
