@@ -4,8 +4,14 @@ toxicity: documents whose score is 0.5 or more go. near_duplicates: one document
 decontaminate: documents with windows of two or more benchmark items go; of others, 8-word windows of an item, or all of
 an item of 2 to 7 words, are cut out. secrets: found secrets are replaced by [SECRET]. bpe: token ids, and the text that they decode to.
 
-Every stage but the last returns the columns of its input; n_chars follows a text that a stage changes. The toxicity
-model is learned from labelled rows of the input outside crc32(doc_id) mod 5 = 0.
+Every stage but the last returns the columns of its input, whatever else they are named; n_chars follows a text that a
+stage changes. The toxicity model is learned from labelled rows of the input outside crc32(doc_id) mod 5 = 0.
+
+Defined results. Null and empty texts pass all stages: they are neither toxic nor copies, and have no hits; the last
+stage gives them no ids and the empty text. Null ids are ids without labels. Of rows equal in id and text, one stays, if
+the text has words; of a component's rows, that of the smallest id that isn't null stays, and among rows of that id the
+one of the smaller hash of id and text. The last stage's own columns are ids, n_tokens and text; input columns of these
+names (but for text) come back as <name>_input. An empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, decontaminate, ngram_join, secrets, toxicity
-from weft.llm.base import hold, prepared, table
+from weft.llm.base import col, drop_written, hold, outer_names, prepared, table, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -32,8 +38,7 @@ def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = toxicity.score(docs, toxicity.fitted(spark, docs, sf_dir))
-    own = made.columns[: len(docs.columns)]
-    return made.filter(F.col("score") < 0.5).select(*[F.col(f"`{c}`").alias(o) for c, o in zip(own, docs.columns, strict=True)])
+    return made.filter(F.col("score") < 0.5).select(*[col(c) for c in made.columns[: len(docs.columns)]]).toDF(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, rest, decoded=True)
-    return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("text", F.col("decoded").cast("string")).drop("decoded")
+    new = ["ids", "n_tokens", "text"]
+    kept = [col(c).alias(f"k{i}") for i, c in enumerate(coded.columns[: len(rest)])]
+    return coded.select(*kept, "ids", F.size("ids").cast("long"), F.col("decoded").cast("string")).toDF(*outer_names(rest, new), *new)
 
 
 def _prepared(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -71,8 +78,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; what each returns is written to the shared folder and read again."""
+    """All stages over the table documents; what each returns is written to the shared folder and read again, and what
+    it held for itself is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since = written()
         docs = hold(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_written(spark, since, 1)
     return STAGES[-1][1](spark, docs, sf_dir)
