@@ -3,7 +3,8 @@ import random
 
 import duckdb
 import pytest
-from test_operators import ALNUM, LOW, brute_base, brute_components, brute_hits, docs_of, near_texts, toxic_data
+from pyspark.sql import functions as F
+from test_operators import ALNUM, LOW, brute_base, brute_components, brute_hits, docs_of, near_texts, odd_docs, toxic_data
 
 import corpus_pipeline as pipeline
 from weft.llm import queries, toxicity
@@ -81,6 +82,17 @@ def test_stages_take_empty_and_odd_tables(spark, folder):
         assert docs.count() == n
 
 
+def test_stages_take_odd_columns(spark, folder):
+    df = odd_docs(spark).withColumn("n_tokens", F.lit(3)).withColumn("ids", F.lit("own"))
+    docs = df
+    for name, stage in pipeline.STAGES:
+        docs = pipeline.hold(stage(spark, docs, folder[0]), "o")
+        if name != "bpe":
+            assert docs.columns == df.columns
+    assert docs.columns[-3:] == ["ids", "n_tokens", "text"] and "ids_input" in docs.columns and "a.b" in docs.columns
+    assert docs.count() == 6  # of nine rows, two are copies and one is a near copy
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):

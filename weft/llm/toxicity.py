@@ -130,15 +130,15 @@ def scaled(x: list[np.ndarray]) -> list[np.ndarray]:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Weights by Newton's method, the constant last; features are scaled inside."""
-    scale = np.maximum(x.std(0), 1e-9)
-    z = np.column_stack([x / scale, np.ones(len(x))])
+    mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1)  # a constant feature has no part
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     weight = weight / weight.mean()
     b, damp = np.zeros(z.shape[1]), np.diag([ridge * len(x)] * x.shape[1] + [1e-9])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
         step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + damp, z.T @ (weight * (y - p)) - damp @ b)
         b += np.clip(step, -5, 5)
-    return np.append(b[:-1] / scale, b[-1])
+    return np.append(b[:-1] / scale, b[-1] - (b[:-1] * mean / scale).sum())
 
 
 def _thinned(rows: DataFrame, id_col: str, amounts: dict[int, float], limit: float, salt: int) -> tuple[DataFrame, dict[int, float]]:
