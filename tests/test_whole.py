@@ -3,14 +3,11 @@
 import os
 from collections import defaultdict
 
-import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from weft import queries as core
-from weft.llm import ann, decontaminate, lm
 from weft.operators import patterns as pat
 from weft.operators import primitives as P
 
@@ -37,7 +34,7 @@ def get(near, v):
 @pytest.mark.parametrize("name", ["j30_triangle_rows", "j16_triangle_wcoj", "j17_triangle_wcoj_chunked", "j18_triangle_levels", "j34_sliced_wcoj"])
 def test_triangles_of_all_edges(spark, near, name):
     want = sorted((a, b, c) for a in near for b in near[a] for c in get(near, b) & near[a])
-    assert sorted((r["a0"], r["a1"], r["a2"]) for r in core.QUERIES[f"{name}_whole"](spark, SF).collect()) == want
+    assert sorted((r["a0"], r["a1"], r["a2"]) for r in core.QUERIES[name](spark, SF).collect()) == want
 
 
 def test_patterns_of_all_edges(spark, near):
@@ -51,7 +48,7 @@ def test_patterns_of_all_edges(spark, near):
         "j02_first_key_mode": sum(n * len(near[a]) for (a, _), n in ways.items()), "p_square": sum(n * n for n in ways.values()),
         "p_diamond": sum(len(get(near, b) & get(near, c)) for _, b, c in triangles), "p_tailed_triangle": sum(len(get(near, c)) for _, _, c in triangles),
     }
-    assert {name: core.QUERIES[f"{name}_whole"](spark, SF).first()[0] for name in want} == want
+    assert {name: core.QUERIES[name](spark, SF).first()[0] for name in want} == want
 
 
 def test_rows_of_whole_tables(spark):
@@ -61,8 +58,8 @@ def test_rows_of_whole_tables(spark):
         "f01_projection": len(lines), "a17_product": len(set(lines)), "x13_intervals": len(column("orders", "o_orderkey")), "p07_expand": sum(sizes),
         "u05_comparator": sum(c % 97 in suppliers for c in column("customer", "c_custkey")),
     }
-    assert {name: core.QUERIES[f"{name}_whole"](spark, SF).count() for name in want} == want
-    assert max(r["o_orderkey"] for r in core.QUERIES["x13_intervals_whole"](spark, SF).collect()) == max(column("orders", "o_orderkey"))
+    assert {name: core.QUERIES[name](spark, SF).count() for name in want} == want
+    assert max(r["o_orderkey"] for r in core.QUERIES["x13_intervals"](spark, SF).collect()) == max(column("orders", "o_orderkey"))
 
 
 def test_scatter_loses_no_position(spark, tmp_path):
@@ -91,40 +88,4 @@ def test_bfs_of_all_edges(spark, near):
         reached = {b for a in frontier for b in get(near, a)} - level.keys()
         level |= dict.fromkeys(reached, max(level.values()) + 1)
         frontier = reached
-    assert {r["v"]: r["level"] for r in core.QUERIES["p12_bfs_levels_whole"](spark, SF).collect()} == level
-
-
-def test_trigram_scores_are_registered(spark):
-    found = {r["doc_id"]: r["mean_log_score"] for r in entry.queries()["op8_lm_score_trigrams"](spark, SF).collect()}
-    made = lm.score(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"], order=3)
-    want = {r["doc_id"]: r["m"] for r in made.select("doc_id", F.round("mean_log_score", 6).alias("m")).collect()}
-    assert found == pytest.approx(want, abs=2e-6)
-    assert found != {r["doc_id"]: r["mean_log_score"] for r in entry.queries()["op8_lm_score"](spark, SF).collect()}
-
-
-@pytest.mark.parametrize("item", ["one two", "one two three four five", "one two three four five six seven"])
-def test_short_items_are_cut(spark, item):
-    docs = spark.createDataFrame([(1, f"before {item.upper()}, after"), (2, "one, after"), (3, None)], "doc_id long, text string")
-    out = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "before  , after", 2: "one, after", 3: None}
-
-
-def test_ties_go_to_smaller_columns():
-    rng = np.random.default_rng(5)
-    scores = rng.integers(0, 4, (200, 60)).astype(float)
-    for k in (1, 5, 21):
-        want = [sorted(sorted(range(60), key=lambda c: (-row[c], c))[:k]) for row in scores]  # noqa: B023
-        assert [sorted(r) for r in ann.top(scores, k).tolist()] == want
-
-
-def test_nearest_of_binary_vectors(spark):
-    rng = np.random.default_rng(6)
-    vectors = np.unique(rng.integers(0, 2, (400, 12)), axis=0)
-    vectors = rng.permutation(vectors[vectors.any(1)]).astype(np.float32)
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
-    found = ann.nearest(df, F.col("vec_id") % 20 == 0, 10, leaf_rows=1000, recall=1.0).collect()
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found}
-    scores = vectors @ vectors.T
-    for q in range(0, len(vectors), 20):
-        want = sorted((k for k in range(len(vectors)) if k != q), key=lambda k: (-scores[q, k], k))[:10]  # noqa: B023
-        assert [got[q, r] for r in range(1, 11)] == want
+    assert {r["v"]: r["level"] for r in core.QUERIES["p12_bfs_levels"](spark, SF).collect()} == level

@@ -107,3 +107,8 @@ def upper_bound(values: Column, x: Column) -> Column:
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def order_key_hash(key: Column) -> Column:
+    """Order keys of the public generator use 8 of every 32 numbers: without the two unused bits they are dense."""
+    return F.shiftleft(F.shiftright(key, 5), 3).bitwiseOR(key.bitwiseAND(7))

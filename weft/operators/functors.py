@@ -20,10 +20,18 @@ def where(df: DataFrame, predicate: Callable[[DataFrame], Column]) -> DataFrame:
 def reduce_by(df: DataFrame, keys: Sequence[str], value: str, initial: Column, merge: Callable[[Column, Column], Column], to: str = "reduced", parts: int = 16) -> DataFrame:
     """Folds each key's values with an associative, commutative function that has `initial` as its identity.
 
-    Values are folded in `parts` parts of each key first, so a hot key's values are never one list.
+    Equal values of a key are counted before they meet, and what each makes up is folded by doubling; then `parts` parts
+    of each key are folded, so a hot key's values, or copies of one, are never one list.
     """
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id()), F.lit(parts))
-    first = df.groupBy(*keys, part.alias("__part")).agg(F.reduce(F.collect_list(value), initial, merge).alias("__v"))
+    counted = df.groupBy(*keys, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    # n copies: the bits of n say which powers of two of the value to merge.
+    step = lambda acc, _: F.struct(
+        F.when(acc["n"] % 2 == 1, merge(acc["made"], acc["power"])).otherwise(acc["made"]).alias("made"), merge(acc["power"], acc["power"]).alias("power"), F.shiftright(acc["n"], 1).alias("n"),
+    )
+    bits = F.sequence(F.lit(1), F.length(F.bin("__n")))
+    copies = F.reduce(bits, F.struct(initial.alias("made"), F.col("__value").cast(df.select(initial).schema[0].dataType).alias("power"), F.col("__n").alias("n")), step)["made"]
+    part = F.pmod(F.xxhash64("__value"), F.lit(parts))
+    first = counted.withColumn("__v", copies).groupBy(*keys, part.alias("__part")).agg(F.reduce(F.collect_list("__v"), initial, merge).alias("__v"))
     return first.groupBy(*keys).agg(F.reduce(F.collect_list("__v"), initial, merge).alias(to))
 
 

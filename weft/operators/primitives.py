@@ -1,15 +1,20 @@
 """Data-parallel relational primitives: selection, scans, runs, reductions, histograms, sorting, sets, expansion.
 
-Positions are explicit columns, since a DataFrame has no order of its own. Prefix scans run in two levels, over value
-ranges of the order column in parallel, so that no step sorts the whole table in one task.
+Positions are explicit columns, since a DataFrame has no order of its own. Prefix scans run in two levels, over ranges
+of the whole order key in parallel, so that no step sorts the whole table in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import held, ship
 
 # --- selection ---------------------------------------------------------------------------------------------------
 
@@ -46,25 +51,52 @@ def bulk_insert(df: DataFrame, position: str, inserted: DataFrame) -> DataFrame:
 # --- scans -------------------------------------------------------------------------------------------------------
 
 
-def scan(df: DataFrame, order: Sequence[Column | str], value: Column | str, to: str, op: str = "sum", inclusive: bool = True, ranges: int = 64) -> DataFrame:
-    """Prefix sum, min or max of value in the order of unique keys. An exclusive scan's first row has 0 (sum) or NULL.
+def _running(op: str, inclusive: bool, kind: pa.DataType, names: list[str]):
+    """For mapInArrow over sorted partitions whose last column is the value: that column becomes what the rows before it
+    in the partition (and itself, if inclusive) make up; null where there are none."""
+    fold = {"sum": pc.cumulative_sum_checked, "min": pc.cumulative_min, "max": pc.cumulative_max}[op]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = pa.scalar(None, kind)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = pa.array([carry.as_py()], kind)
+            made = pc.fill_null_forward(fold(pa.concat_arrays([first, batch.column(batch.num_columns - 1).cast(kind)]), skip_nulls=True))
+            carry = made[len(made) - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made.slice(1 if inclusive else 0, batch.num_rows)], names=names)
+
+    return run
 
-    The first order column, a number, is cut at approximate quantiles: ranges are scanned in parallel, and each gets
-    what all ranges before it make up, from a table of one row a range.
+
+def scan(df: DataFrame, order: Sequence[Column | str], value: Column | str, to: str, op: str = "sum", inclusive: bool = True) -> DataFrame:
+    """Prefix sum, min or max of a numeric value in the order of unique keys. An exclusive scan's first row has 0 (sum)
+    or NULL.
+
+    Rows are dealt by ranges of the whole order key, as many as spark.sql.shuffle.partitions says, fewer for little
+    data; each range is scanned by itself and written, once, to the shared folder; then it gets what all ranges before
+    it make up, from a table of one row a range.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     value = F.col(value) if isinstance(value, str) else value
-    marked = df.withColumn("__first", order[0].cast("double"))
-    bounds = sorted(set(marked.approxQuantile("__first", [k / ranges for k in range(1, ranges)], 0.005)))
-    held = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    marked = marked.withColumn("__range", F.size(F.filter(held, lambda b: b <= F.col("__first")))).withColumn("__value", value)
+    ship(df.sparkSession)
+    names = [f"c{k}" for k in range(len(df.columns))]
+    keys = [f"o{k}" for k in range(len(order))]
+    marked = df.select("*", *[c.alias(f"__o{k}") for k, c in enumerate(order)], value.alias("__value")).toDF(*names, *keys, "value")
+    kind = marked.schema["value"].dataType
+    wide = T.LongType() if isinstance(kind, T.IntegralType) and op == "sum" else T.DoubleType() if isinstance(kind, T.FractionalType) else kind
+    dealt = marked.withColumn("value", F.col("value").cast(wide)).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*names, F.spark_partition_id().alias("range"), F.col("value").alias("own"), "value")
+    out = [*names, "range", "own", "inner"]
+    kinds = T.StructType([*[f for f in dealt.schema.fields if f.name != "value"], T.StructField("inner", wide)])
+    arrow = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32(), T.ShortType(): pa.int16(), T.ByteType(): pa.int8()}[wide]
+    done = held(dealt.mapInArrow(_running(op, inclusive, arrow, out), kinds), "scan")
     fold = {"sum": F.sum, "min": F.min, "max": F.max}[op]
-    totals = marked.groupBy("__range").agg(fold("__value").alias("__total"))
-    earlier = totals.withColumn("__before", fold("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).drop("__total")
-    frame = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    inner = marked.withColumn("__inner", fold("__value").over(frame)).join(F.broadcast(earlier), "__range")  # one row a range
+    totals = done.groupBy("range").agg(fold("own").alias("total"))
+    earlier = totals.select("range", fold("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}[op]
-    return inner.withColumn(to, join(F.col("__before"), F.col("__inner"))).drop("__first", "__range", "__value", "__inner", "__before")
+    met = done.join(F.broadcast(earlier), "range")  # one row a range
+    return met.select(*names, join(F.col("before"), F.col("inner"))).toDF(*df.columns, to)
 
 
 def segmented_scan(df: DataFrame, segment: str, order: str, value: str, to: str, op: str = "sum", inclusive: bool = True, backward: bool = False) -> DataFrame:
@@ -76,7 +108,11 @@ def segmented_scan(df: DataFrame, segment: str, order: str, value: str, to: str,
 
 def change_flags(df: DataFrame, order: Sequence[str], value: str, to: str, segment: str | None = None) -> DataFrame:
     """Whether a row's value differs from the row before it; true for the first."""
-    w = (Window.partitionBy(segment) if segment else Window).orderBy(*order)
+    if segment is None:  # rows meet the ones before them by their places: no task orders the whole table
+        placed = held(scan(df, order, F.lit(1), "__place", inclusive=False), "placed")
+        before = placed.select((F.col("__place") + 1).alias("__place"), F.col(value).alias("__before"), F.lit(True).alias("__has"))
+        return placed.join(before, "__place", "left").withColumn(to, F.col("__has").isNull() | ~F.col(value).eqNullSafe(F.col("__before"))).drop("__place", "__before", "__has")
+    w = Window.partitionBy(segment).orderBy(*order)
     first = F.row_number().over(w) == 1
     return df.withColumn(to, first | ~F.col(value).eqNullSafe(F.lag(value).over(w)))
 
@@ -86,17 +122,19 @@ def rank_in_group(df: DataFrame, parent: str, child: str, to: str = "rank") -> D
     return df.withColumn(to, F.row_number().over(Window.partitionBy(parent).orderBy(child)) - 1)
 
 
-def list_rank(nodes: DataFrame, node: str = "node", nxt: str = "next", rounds: int = 40) -> DataFrame:
-    """(node, distance to the end of its linked list) by pointer jumping: each round doubles the step."""
-    from ..sources.shared import checkpointed
-
-    held = nodes.select(F.col(node).alias("node"), F.col(nxt).alias("next"), F.when(F.col(nxt).isNull(), 0).otherwise(1).cast("long").alias("rank"))
-    for _ in range(rounds):
-        other = held.select(F.col("node").alias("next"), F.col("next").alias("__to"), F.col("rank").alias("__more"))
-        held = checkpointed(held.join(other, "next", "left").select("node", F.col("__to").alias("next"), (F.col("rank") + F.coalesce("__more", F.lit(0))).alias("rank")))
-        if held.filter("next is not null").isEmpty():
+def list_rank(nodes: DataFrame, node: str = "node", nxt: str = "next", rounds: int = 64) -> DataFrame:
+    """(node, distance to the end of its linked list) by pointer jumping: each round doubles the step. Lists that don't
+    end within 2^rounds steps, as rings don't, are an error."""
+    done = held(nodes.select(F.col(node).alias("node"), F.col(nxt).alias("next"), F.when(F.col(nxt).isNull(), 0).otherwise(1).cast("long").alias("rank")))
+    n = done.count()
+    for k in range(rounds):
+        if done.filter("next is not null").isEmpty():
+            return done.select("node", "rank")
+        if 1 << k > max(n, 1) * 2:  # longer than all nodes in one list
             break
-    return held.select("node", "rank")
+        other = done.select(F.col("node").alias("next"), F.col("next").alias("__to"), F.col("rank").alias("__more"))
+        done = held(done.join(other, "next", "left").select("node", F.col("__to").alias("next"), (F.col("rank") + F.coalesce("__more", F.lit(0))).alias("rank")))
+    raise ValueError("a list doesn't end: it is a ring, or longer than 2^rounds")
 
 
 # --- runs and reductions -----------------------------------------------------------------------------------------
@@ -218,7 +256,7 @@ def bucket_offsets(df: DataFrame, key: str, bits: int) -> DataFrame:
 
 def multisplit(df: DataFrame, bucket: Column, position: str, to: str = "place") -> DataFrame:
     """Stable order by bucket: each row's place from 0."""
-    return scan(df.withColumn("__bucket", bucket), ["__bucket", position], F.lit(1), to, inclusive=False, ranges=16).drop("__bucket")
+    return scan(df.withColumn("__bucket", bucket), ["__bucket", position], F.lit(1), to, inclusive=False).drop("__bucket")
 
 
 def expand(df: DataFrame, count: str, to: str = "rank") -> DataFrame:
@@ -245,11 +283,13 @@ def scatter(values: DataFrame, position: str, n: int) -> DataFrame:
 
 def bounds(needles: DataFrame, haystack: DataFrame, key: str, upper: bool = False, to: str = "bound") -> DataFrame:
     """For each needle the number of haystack keys below it (upper: or equal), by one scan over both."""
-    a = needles.select(F.col(key), F.lit(0).alias("__hay"), F.monotonically_increasing_id().alias("__id"))
-    grouped = haystack.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__hay")).withColumn("__id", F.lit(None).cast("long"))
-    side = F.when(F.col("__id").isNull(), 0 if upper else 1).otherwise(1 if upper else 0)
-    both = a.unionByName(grouped.select(key, "__hay", "__id")).withColumn("__side", side)
-    return scan(both, [key, "__side", F.coalesce("__id", F.lit(-1))], "__hay", to, inclusive=False).filter("__id is not null").select(key, to)
+    # Equal needles are one row with their number, so rows need no ids of their own.
+    a = needles.groupBy(key).agg(F.count("*").alias("__times")).select(key, F.lit(0).cast("long").alias("__hay"), "__times")
+    grouped = haystack.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__hay")).withColumn("__times", F.lit(None).cast("long"))
+    side = F.when(F.col("__times").isNull(), 0 if upper else 1).otherwise(1 if upper else 0)
+    both = a.unionByName(grouped.select(key, "__hay", "__times")).withColumn("__side", side)
+    found = scan(both, [key, "__side"], "__hay", to, inclusive=False).filter("__times is not null")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(key, to)
 
 
 def compact_ids(df: DataFrame, key: str, to: str = "dense") -> DataFrame:

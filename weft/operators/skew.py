@@ -26,13 +26,18 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, share: float = 0.001) -> DataFrame:
-    """Inner join on a key that is skewed on the left: rows of heavy keys are spread over `salts` partitions and the
-    right side's rows of those keys, and of no others, are repeated for each."""
-    heavy = F.broadcast(heavy_keys(left, key, share).withColumn("__heavy", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.monotonically_increasing_id()), F.lit(salts))
-    a = left.join(heavy, key, "left").withColumn("__salt", F.when(F.col("__heavy"), spread).otherwise(F.lit(0).cast("long"))).drop("__heavy")
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    b = right.join(heavy, key, "left").withColumn("__salt", F.explode(F.when(F.col("__heavy"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("__heavy")
+    """Inner join on a key that is skewed on the left: rows of heavy keys are spread over `salts` partitions by the hash
+    of their columns (equal rows stay together) and the right side's rows of those keys, and of no others, are repeated
+    for each. Without heavy keys it is a plain join."""
+    found = [r[0] for r in heavy_keys(left, key, share).limit(int(1 / share) + 1).collect()]  # 1 / share at most
+    if not found:
+        return left.join(right, key)
+    heavy = F.col(key).isin(found)
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
+    none = F.lit(0).cast("long")
+    a = left.withColumn("__salt", F.when(heavy, spread).otherwise(none))
+    every = F.sequence(none, F.lit(salts - 1).cast("long"))
+    b = right.withColumn("__salt", F.explode(F.when(heavy, every).otherwise(F.array(none))))
     return a.join(b, [key, "__salt"]).drop("__salt")
 
 

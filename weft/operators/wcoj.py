@@ -16,13 +16,21 @@ from pyspark.sql import functions as F
 from ..plans.hypergraph import attributes
 
 
-def adjacency(edges: DataFrame, src: str, dst: str, to: str = "near", chunk: int | None = None) -> DataFrame:
-    """(src, array of distinct dst, ascending). With `chunk`, long lists are several rows of at most so many entries."""
-    lists = edges.groupBy(src).agg(F.array_sort(F.collect_set(dst)).alias(to))
+def adjacency(edges: DataFrame, src: str, dst: str, to: str = "near", parts: int = 1) -> DataFrame:
+    """(src, array of distinct dst, ascending). With `parts`, also `part`, the hash of dst: a hub's list is several rows,
+    gathered by themselves; lists of different edges have equal vertices in equal parts."""
+    if parts == 1:
+        return edges.groupBy(src).agg(F.array_sort(F.collect_set(dst)).alias(to))
+    part = F.pmod(F.xxhash64(dst), F.lit(parts)).cast("int")
+    return edges.groupBy(src, part.alias("part")).agg(F.array_sort(F.collect_set(dst)).alias(to))
+
+
+def parts_of(links: Sequence[tuple[DataFrame, str]], attr: str, chunk: int | None) -> int:
+    """Parts of adjacency lists so that the longest one has about `chunk` entries in each."""
     if chunk is None:
-        return lists
-    starts = F.sequence(F.lit(1), F.size(to), F.lit(chunk))
-    return lists.select(src, F.explode(F.transform(starts, lambda i: F.slice(to, i, F.lit(chunk)))).alias(to))
+        return 1
+    degrees = (r.groupBy(other).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0 for r, other in links)
+    return max(1, -(-max(degrees) // chunk))
 
 
 def nested_adjacency(rows: DataFrame, first: str, second: str, third: str) -> DataFrame:
@@ -62,7 +70,8 @@ def generic_join(relations: Sequence[DataFrame], order: Sequence[str] | None = N
 
     Without count_by: all attributes of the result, in the order in which the relations name them. With count_by (a
     list of attributes but the last one of the order, maybe empty): their groups and `count`, summed from sizes of
-    the last intersections, which are never expanded. chunk: entries of an adjacency row (splits hubs).
+    the last intersections, which are never expanded. chunk: about how many entries an adjacency row may have; lists are
+    then gathered, joined and intersected in so many parts by hash of the new vertex that a hub's have no more.
     """
     if any(len(r.columns) != 2 for r in relations):
         raise ValueError("relations must have two columns")
@@ -80,10 +89,10 @@ def generic_join(relations: Sequence[DataFrame], order: Sequence[str] | None = N
         links = _bound_by(relations, order[:k], attr)
         if not links:
             raise ValueError(f"{attr} is not linked to earlier attributes")
-        near = []
+        near, parts = [], parts_of(links, attr, chunk)
         for i, (r, other) in enumerate(links):
-            held = adjacency(r, other, attr, f"__near{i}", chunk if i == 0 else None)
-            out = out.join(held, other)
+            rows = adjacency(r, other, attr, f"__near{i}", parts)
+            out = out.join(rows, [other] if parts == 1 or not i else [other, "part"])
             near.append(F.col(f"__near{i}"))
         found = intersect_all(near)
         if count_by is not None and k == len(order) - 1:

@@ -61,7 +61,7 @@ GROUP BY o_year""",
 SELECT n_name AS nation, CAST(year(o_orderdate) AS int) AS o_year, round(sum({REVENUE}), 2) AS sum_profit
 FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
   JOIN nation ON n_nationkey = s_nationkey
-WHERE p_name LIKE '%1%' GROUP BY n_name, CAST(year(o_orderdate) AS int)""",
+WHERE p_name LIKE '%red%' GROUP BY n_name, CAST(year(o_orderdate) AS int)""",
     "q10": f"""
 SELECT c_custkey, c_name, round(sum({REVENUE}), 2) AS revenue, c_acctbal, n_name
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey

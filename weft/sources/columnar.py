@@ -37,6 +37,14 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
+def put_file(path: str, held: bytes) -> None:
+    system, base = _open(path)
+    system.create_dir(base.rsplit("/", 1)[0])
+    with system.open_output_stream(f"{base}.tmp") as f:
+        f.write(held)
+    system.move(f"{base}.tmp", base)  # a retried task replaces the same file
+
+
 @dataclass
 class RowRange(InputPartition):
     begin: int
@@ -92,6 +100,7 @@ def write_columnar(df: DataFrame, directory: str) -> list[str]:
     """One file for each partition, named by its rows and attributes (columns a<k>); returns the paths.
 
     A file holds one partition, since a column's bytes are consecutive; read_relation reads all files of a directory.
+    The format has no nulls: a null, or a value that isn't a 32-bit number, is an error.
     """
     ship(df.sparkSession)
     ids = [c.removeprefix("a") for c in df.columns]
@@ -107,17 +116,12 @@ def write_columnar(df: DataFrame, directory: str) -> list[str]:
                 held[k].append(batch.column(k).to_numpy(zero_copy_only=False).astype(VALUE))
         columns = [np.concatenate([np.zeros(0, VALUE), *x]) for x in held]
         if len(columns[0]):
-            system, base = _open(directory)
-            part = f"{base}/part-{TaskContext.get().partitionId():05d}"
-            system.create_dir(part)
-            name = f"{len(columns[0])}_{'_'.join(ids)}.db"
-            with system.open_output_stream(f"{part}/{name}.tmp") as f:
-                for x in columns:
-                    f.write(x.tobytes())
-            system.move(f"{part}/{name}.tmp", f"{part}/{name}")  # a retried task replaces the same file
-            yield pa.RecordBatch.from_pydict({"path": [f"{directory}/part-{TaskContext.get().partitionId():05d}/{name}"]})
-
-    whole = df.select(*[F.col(c).cast("int").alias(c) for c in df.columns]).dropna()
+            path = f"{directory}/part-{TaskContext.get().partitionId():05d}/{len(columns[0])}_{'_'.join(ids)}.db"
+            put_file(path, b"".join(x.tobytes() for x in columns))
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    bad = lambda c: F.raise_error(F.concat(F.lit(f"{c} has no 32-bit number: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))).cast("int")
+    whole = df.select(*[F.coalesce(F.col(c).try_cast("int"), bad(c)).alias(c) for c in df.columns])
     return sorted(r["path"] for r in whole.mapInArrow(write, "path string").collect())
 
 

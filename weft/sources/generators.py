@@ -101,5 +101,5 @@ def primary_keys(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
 
 
 def foreign_keys(spark: SparkSession, n: int, keys: int, seed: int = 1) -> DataFrame:
-    """(key, payload): n rows over 1..keys, each key equally often."""
-    return cyclic(spark, n, keys, seed, "key").select((F.col("key") + 1).alias("key"), F.monotonically_increasing_id().alias("payload"))
+    """(key, payload): n rows over 1..keys, each key equally often, in a random order."""
+    return spark.range(n).orderBy(F.xxhash64(F.lit(seed), "id")).select((F.col("id") % keys + 1).cast("int").alias("key"), F.col("id").alias("payload"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/weft/{tag}-{uuid.uuid4().hex}"
+
+
+def held(df: DataFrame, tag: str = "held") -> DataFrame:
+    """Written as a table to the shared folder and read again: computed once, however often it is used."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors' Python workers, once a context: they may not have it on their path."""
     context = spark.sparkContext

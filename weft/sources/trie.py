@@ -7,14 +7,20 @@ level but the last its 32-bit offsets, one more than values.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.wcoj import adjacency
-from .columnar import _open
+from .columnar import _open, listed, put_file, read_columnar
+from .shared import ship
 
-HEAD, VALUE = np.dtype("<u8"), np.dtype("<i4")
+HEAD, VALUE, ROWS = np.dtype("<u8"), np.dtype("<i4"), 1 << 16
 
 
 def write_adjacency(edges: DataFrame, path: str, src: str = "a0", dst: str = "a1") -> None:
@@ -62,18 +68,74 @@ def decode_trie(held: bytes) -> tuple[list[int], np.ndarray]:
 
 
 def write_trie(rows: DataFrame, path: str) -> None:
-    """A relation with columns a<k> as one file. For small relations: they pass through the driver."""
-    held = rows.toArrow()
-    columns = [held.column(c).to_numpy() for c in rows.columns]
+    """A relation with columns a<k> as one file. For small relations: one task makes it (write_tries: many)."""
+    made = write_tries(rows.coalesce(1), f"{path}.parts", 1)
     system, base = _open(path)
-    with system.open_output_stream(base) as f:
-        f.write(encode_trie(columns, [int(c.removeprefix("a")) for c in rows.columns]))
+    if made:
+        system.move(_open(made[0])[1], base)
+    else:
+        put_file(path, encode_trie([np.zeros(0, int) for _ in rows.columns], [int(c.removeprefix("a")) for c in rows.columns]))
+    if system.get_file_info(_open(f"{path}.parts")[1]).type == fs.FileType.Directory:
+        system.delete_dir(_open(f"{path}.parts")[1])
+
+
+def write_tries(rows: DataFrame, directory: str, parts: int | None = None) -> list[str]:
+    """A relation with columns a<k> as one file for each range of the first column; each is made by its task. Returns the
+    paths. Equal rows meet in one range, so files are sets. A null is an error."""
+    ship(rows.sparkSession)
+    ids = [int(c.removeprefix("a")) for c in rows.columns]
+    first = rows.columns[0]
+    checked = rows.select(*[F.coalesce(F.col(c).cast("int"), F.raise_error(F.lit(f"{c} is null")).cast("int")).alias(c) for c in rows.columns])
+    dealt = checked if parts == 1 else checked.repartitionByRange(first) if parts is None else checked.repartitionByRange(parts, first)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            columns = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(len(ids))]
+            path = f"{directory}/{TaskContext.get().partitionId():05d}.tr"
+            put_file(path, encode_trie(columns, ids))
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    return sorted(r["path"] for r in dealt.mapInArrow(write, "path string").collect())
+
+
+def read_tries(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of one relation, each read by a task of its own."""
+    ship(spark)
+    system, base = _open(paths[0])
+    with system.open_input_file(base) as f:
+        n = int(np.frombuffer(f.read_at(8, 0), HEAD)[0])
+        ids = np.frombuffer(f.read_at(8 * n, 8 * (n + 1)), HEAD).astype(int).tolist()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, base = _open(path)
+                with system.open_input_file(base) as f:
+                    _, rows = decode_trie(f.read())
+                for k in range(0, len(rows), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[k : k + ROWS, j].astype(VALUE)) for j in range(len(ids))], names=[f"a{i}" for i in ids])
+
+    listed_paths = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+    return listed_paths.mapInArrow(read, ", ".join(f"a{i} int" for i in ids))
 
 
 def read_trie(spark: SparkSession, path: str) -> DataFrame:
     system, base = _open(path)
     if system.get_file_info(base).type != fs.FileType.File:
         raise FileNotFoundError(path)
-    with system.open_input_file(base) as f:
-        ids, rows = decode_trie(f.read())
-    return spark.createDataFrame([tuple(r) for r in rows.tolist()], ", ".join(f"a{k} int" for k in ids))
+    return read_tries(spark, [path])
+
+
+def read_any(spark: SparkSession, directory: str) -> DataFrame:
+    """A directory's relation: of files that differ only in the suffix, the trie (.tr), else the columns (.db)."""
+    prefix = directory[: len(directory) - len(_open(directory)[1])]
+    found = [f"{prefix}{p}" for p in listed(directory, (".tr", ".db"))]
+    tries, plain = [p for p in found if p.endswith(".tr")], [p for p in found if p.endswith(".db")]
+    out = [read_tries(spark, tries)] if tries else []
+    out += [read_columnar(spark, p) for p in plain]
+    if not out:
+        raise FileNotFoundError(f"no .tr or .db file in {directory}")
+    return reduce(DataFrame.unionByName, out)
