@@ -287,11 +287,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Shingles of classes that still aren't one component: the parts that share one, and these classes.
         labelled = hold(_labelled(large, links).select("node", "grp", "part", "label"), "labelled")
         apart = sharing.join(labelled, "node")
-        mixed = apart.groupBy("key", "slot").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key", "slot")
-        apart = apart.join(mixed, ["key", "slot"]).select("key", "slot", "node", "part").distinct()
-        where = apart.select("key", "slot", "part").distinct()
-        pairs = where.withColumnRenamed("part", "i").join(where.withColumnRenamed("part", "j"), ["key", "slot"]).filter("i < j")
-        tasks = apart.join(pairs, ["key", "slot"]).filter("part = i or part = j").select("node", "i", "j").distinct()
+        mixed = apart.groupBy("key", "slot").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.collect_set("part").alias("parts"))
+        mixed = mixed.filter((F.col("a") != F.col("b")) & (F.size("parts") > 1)).select("key", "slot", "parts")
+        others = apart.join(mixed, ["key", "slot"]).groupBy("node", "part").agg(F.array_distinct(F.flatten(F.collect_set("parts"))).alias("parts"))
+        other = F.explode(F.array_remove("parts", F.col("part"))).alias("other")
+        tasks = others.select("node", "part", other).select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         links = links.unionByName(solved(held.join(labelled.select("node", "label"), "node").join(tasks, "node")))
     linked = components(links)
 
