@@ -20,7 +20,7 @@ from ..sources.shared import shared_dir, ship
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text that a worker turns into numpy arrays at a time (one longer text is taken alone, whole).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def release() -> None:
@@ -31,7 +31,7 @@ def release() -> None:
 
 
 #: Rows of an Arrow batch, where the session has Spark's default: texts of a few kB then take some MB a batch.
-BATCH_ROWS, DEFAULT_ROWS = "2000", "10000"
+BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -145,6 +145,8 @@ def map_rows(df: DataFrame, keep: list[str], text_col: str, new: list[T.StructFi
     return held.mapInArrow(run, schema).toDF(*outer_names(keep, added), *added)
 
 
+#: Bytes that a writer of a held table gathers before it writes them: many are open at a time, and all is read again.
+HELD_BYTES = 16 << 20
 #: Paths of the tables that this process has written for its own use, in order.
 _written: list[str] = []
 
@@ -159,7 +161,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def hold(df: DataFrame, tag: str) -> DataFrame:
     """Written to the shared folder and read again: lineage ends here, and a lost executor loses nothing of it."""
     path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", HELD_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ from .base import inner, map_rows, once, outer_names, release, table
 from .words import HashTable, mix
 
 #: Pieces that a worker remembers when it begins a chunk, at most, bytes of text in a chunk, and rows decoded at a time.
-KNOWN, CHUNK, ROWS = 200_000, 2 << 20, 1000
+KNOWN, CHUNK, ROWS = 100_000, 1 << 20, 1000
 IDS, DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())
 
 

@@ -1,6 +1,6 @@
 """Corpus tables in blocks, and n-gram statistics that are exchanged between blocks.
 
-A block is about 8 MB of text as word hashes: a vocabulary and codes, compressed, written to the shared folder once,
+A block is about 2 MB of text as word hashes: a vocabulary and codes, compressed, written to the shared folder once,
 so that later passes see the same blocks. A statistic of n-grams (how often, in how many documents) is gathered by
 hash: each block sends every bucket the distinct keys that it has there, once, with its own count; a bucket sums them
 and answers each block key by key. So a key costs one entry a block, however many documents or rows hold it, and a
@@ -30,7 +30,7 @@ from .base import arrow_type, col, drop_written, hold, inner, release, utf8_chun
 from .words import find
 
 #: Bytes of text in a block, keys in a bucket on average, and messages of a block or merged group at most.
-BLOCK_BYTES, BUCKET_KEYS, MESSAGES = 8 << 20, 1 << 20, 4096
+BLOCK_BYTES, BUCKET_KEYS, MESSAGES = 2 << 20, 1 << 20, 4096
 
 
 def pack(x: np.ndarray) -> bytes:
