@@ -6,6 +6,9 @@ split a bounded sample (`sample_rows`) halfway between two of a node's rows; the
 each tree. A query walks all trees through one queue, ordered by the squared margins that a way has crossed, until its
 leaves hold `enough` rows; scores are then taken in double precision on the original vectors, leaf by leaf.
 
+A query's k + 1 best rows of the sample are candidates like those of its leaves, and their last score is a bound: what a
+leaf has below it can't be among the nearest, and isn't passed on.
+
 How much is enough is measured: for `probes` queries the exact neighbours over all rows are found by brute force, and
 the least number of rows is taken that gives them back with a mean recall of `recall`. So the index searches little
 where the data allow it, and as much as needed where they don't (vectors like noise need about half of all rows).
@@ -134,9 +137,13 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     asked = hold(asked.join(entries.select("h", "entry", F.col("vec").alias("v")), "h").filter("vec = v").select("query_id", "entry"), "asked")
     n, limit = entries.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()
 
-    sample = matrix(entries.orderBy("h").limit(sample_rows).select("vec").toArrow().column("vec").combine_chunks()).astype(np.float64)  # bounded
+    drawn = entries.orderBy("h").limit(sample_rows).select("entry", "vec").toArrow().combine_chunks()  # bounded
+    sample = matrix(drawn.column("vec").combine_chunks()).astype(np.float64)
     forest = build(sample, n_trees, max(2, leaf_rows * len(sample) // n), seed, float(limit) * (1 + 1e-6))
-    shared = spark.sparkContext.broadcast(forest)  # bounded by sample_rows * trees
+    by_entry = np.argsort(drawn.column("entry").to_numpy())  # ties go to the smaller entry
+    # Bounded by sample_rows * trees.
+    shared = spark.sparkContext.broadcast(forest)
+    known = spark.sparkContext.broadcast((drawn.column("entry").to_numpy()[by_entry], np.ascontiguousarray(sample[by_entry].T)))
 
     def place(batch: pa.RecordBatch) -> dict:
         f = shared.value
@@ -160,14 +167,30 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
         by_probe[r["q"]].append((r["n"], r["leaves"]))
     enough = enough_rows(forest, sizes, asks, by_probe, recall, k + 1)
 
+    def in_sample(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best entries of the sample for each query, and their scores."""
+        found, score = [], []
+        for part in (own[i : i + PRODUCT_ASKS // 4] for i in range(0, len(own), PRODUCT_ASKS // 4)):
+            scores = part @ known.value[1]
+            at = top(scores, k + 1)
+            found.append(known.value[0][at])
+            score.append(np.take_along_axis(scores, at, 1))
+        return np.concatenate(found), np.concatenate(score)
+
+    def first_found(batch: pa.RecordBatch) -> dict:
+        found, score = in_sample(matrix(batch.column(1)).astype(np.float64))
+        return {"ask": batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), found.shape[1]))), "entry": found.ravel(), "score": score.ravel()}
+
     def visit(batch: pa.RecordBatch) -> dict:
         own = matrix(batch.column(1)).astype(np.float64)
         leaves = [shared.value.search(q, sizes, enough) for q in own]
         at = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-        return {"entry": batch.column(0).take(pa.array(at)), "vec": batch.column(1).take(pa.array(at)), "leaf": pa.array(np.concatenate(leaves), pa.int32())}
+        score = in_sample(own)[1]
+        bound = score.min(1) - 1e-9 * np.abs(score).max(1) if score.shape[1] > k else np.full(len(own), -np.inf)
+        return {"entry": batch.column(0).take(pa.array(at)), "vec": batch.column(1).take(pa.array(at)), "leaf": pa.array(np.concatenate(leaves), pa.int32()), "bound": bound[at]}
 
     # Tiles of a leaf: parts of its rows times parts of its visits, each dealt by hash. Both are bounded by the forest.
-    visits = hold(per_batch(searched.select("entry", "vec"), f"entry long, vec {array}, leaf int", visit), "visits")
+    visits = hold(per_batch(searched.select("entry", "vec"), f"entry long, vec {array}, leaf int, bound double", visit), "visits")
     asked_of = np.zeros(forest.n_leaves, np.int64)
     for r in visits.groupBy("leaf").count().toLocalIterator():
         asked_of[r["leaf"]] = r["count"]
@@ -176,13 +199,13 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     n_buckets = max(1, int((sizes * n_ask + asked_of * n_home)[(n_home > 0) & (n_ask > 0)].sum()) // BUCKET_ROWS)
     mine = lambda n: F.pmod(F.xxhash64("entry"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    visits = visits.join(F.broadcast(loads), "leaf").select("entry", "vec", "leaf", every("n_home").alias("home"), mine("n_ask").alias("part"), F.lit(True).alias("asks"))
-    homes = placed.select("entry", "vec", F.explode("leaves").alias("leaf")).join(F.broadcast(loads), "leaf").select("entry", "vec", "leaf", mine("n_home").alias("home"), every("n_ask").alias("part"), F.lit(False).alias("asks"))
+    visits = visits.join(F.broadcast(loads), "leaf").select("entry", "vec", "leaf", "bound", every("n_home").alias("home"), mine("n_ask").alias("part"), F.lit(True).alias("asks"))
+    homes = placed.select("entry", "vec", F.explode("leaves").alias("leaf")).join(F.broadcast(loads), "leaf").select("entry", "vec", "leaf", F.lit(0.0).alias("bound"), mine("n_home").alias("home"), every("n_ask").alias("part"), F.lit(False).alias("asks"))
 
     def rerank(held: pa.Table) -> pa.Table:
         held = held.combine_chunks()
         leaf, home, visit_part, asks, entry = (held.column(c).to_numpy() for c in ("leaf", "home", "part", "asks", "entry"))
-        vec = matrix(held.column("vec").combine_chunks())
+        vec, bound = matrix(held.column("vec").combine_chunks()), held.column("bound").to_numpy()
         order = np.lexsort((entry, asks, visit_part, home, leaf))  # ties go to the smaller entry
         changes = (np.diff(leaf[order]) != 0) | (np.diff(home[order]) != 0) | (np.diff(visit_part[order]) != 0)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -195,12 +218,15 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
             for at in (ask[i : i + PRODUCT_ASKS] for i in range(0, len(ask), PRODUCT_ASKS)):
                 scores = vec[at].astype(np.float64) @ of
                 near = top(scores, k + 1)
-                out.append((np.repeat(entry[at], near.shape[1]), entry[rows][near].ravel(), np.take_along_axis(scores, near, 1).ravel()))
+                score = np.take_along_axis(scores, near, 1)
+                i, j = np.nonzero(score >= bound[at][:, None])
+                out.append((entry[at][i], entry[rows][near[i, j]], score[i, j]))
         q, found, score = best(*(np.concatenate(x) for x in zip(*out, strict=True)), k + 1) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"ask": q, "entry": found, "score": score})
 
     near = visits.unionByName(homes).withColumn("bucket", F.pmod(F.xxhash64("leaf", "home", "part"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(rerank, "ask long, entry long, score double")
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    near = near.unionByName(per_batch(searched.select("entry", "vec"), "ask long, entry long, score double", first_found))
     near = near.unionByName(searched.select(F.col("entry").alias("ask"), "entry", norm.alias("score")))  # copies of the query, wherever they lie
     first = Window.partitionBy("ask").orderBy(F.desc("score"), "entry")
     near = near.groupBy("ask", "entry").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
