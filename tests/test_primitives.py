@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import scalar as X
@@ -19,7 +20,7 @@ def test_scans(spark, rows):
         total += v
         incl.append((k, total))
         top.append((k, max(x for i, x in data if i <= k)))
-    made = [P.scan(df, ["i"], "v", "s", op, inclusive, ranges=7).select("i", "s") for op, inclusive in (("sum", True), ("sum", False), ("max", True))]
+    made = [P.scan(df, ["i"], "v", "s", op, inclusive).select("i", "s") for op, inclusive in (("sum", True), ("sum", False), ("max", True))]
     for got, want in zip(made, (incl, excl, top), strict=True):
         assert sorted(tuple(r) for r in got.collect()) == want
     assert P.scan(df.limit(0), ["i"], "v", "s").count() == 0
@@ -101,3 +102,20 @@ def test_checksum_ignores_order(spark):
     a = spark.createDataFrame([(1, 2), (3, 4)], "x int, y int")
     b = spark.createDataFrame([(3, 4), (1, 2)], "x int, y int")
     assert checksum(a).first() == checksum(b).first() != checksum(a.limit(1)).first()
+
+
+def test_list_rank_refuses_rings(spark):
+    with pytest.raises(ValueError, match="ring"):
+        P.list_rank(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node int, next int"))
+
+
+def test_change_flags_without_segments(spark, rows):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([None, None, 1, 1, 2, None, 2])], "at int, v int")
+    assert rows(P.change_flags(df, ["at"], "v", "new").select("at", "new")) == [(0, True), (1, False), (2, True), (3, False), (4, True), (5, True), (6, True)]
+
+
+def test_reduce_by_counts_copies(spark, rows):
+    from weft.operators import functors
+
+    df = spark.createDataFrame([(k % 2, 3) for k in range(101)] + [(0, 5)], "k int, v long")
+    assert rows(functors.reduce_by(df, ["k"], "v", F.lit(0).cast("long"), lambda a, b: a + b)) == [(0, 51 * 3 + 5), (1, 150)]

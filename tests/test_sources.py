@@ -30,8 +30,13 @@ def test_trie_round_trip(spark, rows, tmp_path):
 
 def test_text(spark, rows, tmp_path):
     (tmp_path / "e.txt").write_text("1 2\n3\t4\n5|5\nbad\n\n")
-    assert rows(text.read_edge_list(spark, f"{tmp_path}/e.txt")) == [(1, 2), (3, 4), (5, 5)]
-    assert rows(text.reverse_edges(text.read_edge_list(spark, f"{tmp_path}/e.txt", True))) == [(2, 1), (4, 3)]
+    assert rows(text.read_edge_list(spark, f"{tmp_path}/e.txt", strict=False)) == [(1, 2), (3, 4), (5, 5)]
+    assert rows(text.reverse_edges(text.read_edge_list(spark, f"{tmp_path}/e.txt", True, False))) == [(2, 1), (4, 3)]
+    assert text.malformed_lines(spark, f"{tmp_path}/e.txt") == 1
+    with pytest.raises(Exception, match="not an edge: bad"):
+        text.read_edge_list(spark, f"{tmp_path}/e.txt").collect()
+    with pytest.raises(Exception, match="a1 has no 32-bit number"):
+        columnar.write_columnar(spark.createDataFrame([(1, 2), (3, None)], "a0 int, a1 int"), f"{tmp_path}/nulls")
     (tmp_path / "t.tbl").write_text("1|x|10|\n2|y|20|\n")
     paths = text.table_to_columnar(spark, f"{tmp_path}/t.tbl", [0, 2], [4, 6], f"{tmp_path}/c")
     assert rows(columnar.read_relation(spark, f"{tmp_path}/c")) == [(1, 10), (2, 20)] and paths
