@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from weft.llm import ann, decontaminate, lm
+from weft.llm import ann, decontaminate, lm, ngram_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,19 @@ def test_nearest_of_binary_vectors(spark):
     for q in range(0, len(vectors), 20):
         want = sorted((k for k in range(len(vectors)) if k != q), key=lambda k: (-scores[q, k], k))[:10]  # noqa: B023
         assert [got[q, r] for r in range(1, 11)] == want
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 1.0])
+def test_hot_shingles_are_spread_whole(spark, monkeypatch, share):
+    monkeypatch.setattr(ngram_join, "SHARE", share)
+    rows = [(node, key, node % 2, node % 3, node % 4 if key else 7) for key in range(4) for node in range(40 if key < 2 else 3 * key)]
+    apart = spark.createDataFrame(rows, "node long, key long, slot int, part int, label long")
+    tally = {}
+    for node, key, slot, part, label in rows:
+        tally.setdefault((key, slot), []).append((part, label))
+    held = [(k, s, len({y for _, y in v}) > 1 and len({x for x, _ in v}) > 1, sorted({x for x, _ in v}), len(v)) for (k, s), v in tally.items()]
+    made = ngram_join._spread(apart, spark.createDataFrame(held, "key long, slot int, mixed boolean, parts array<int>, n long"))
+    got = sorted((r["node"], r["key"], r["slot"], r["part"], tuple(r["parts"])) for r in made.collect())
+    of = {(k, s): tuple(p) for k, s, mixed, p, _ in held if mixed}
+    assert got == sorted((node, key, slot, part, of[key, slot]) for node, key, slot, part, _ in rows if (key, slot) in of)
+    assert of and len(of) < len(held)

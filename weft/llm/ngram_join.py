@@ -48,6 +48,8 @@ from .words import SPACED, grams, mix
 #: Similarity as a fraction, words of a shingle, and shingles of a part of a group.
 NUM, DEN, WORDS, GROUP_KEYS = 3, 4, 5, 1 << 15
 BITS, LEAF = 2048, 2
+#: Share of rows from which on a shingle's classes are spread over tasks, and over how many.
+SHARE, SALTS = 1 / 1024, 64
 
 
 def least_overlap(n, num: int = NUM, den: int = DEN):
@@ -215,6 +217,17 @@ def _one_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(new, pa.int64()))
 
 
+def _spread(apart: DataFrame, tally: DataFrame) -> DataFrame:
+    """Rows of `apart` whose shingle is mixed, with its parts. Of a shingle that more than SHARE of all rows have (so
+    fewer than 1 / SHARE shingles, which are broadcast), rows go to SALTS tasks by their class, or nowhere if not mixed."""
+    least = (tally.agg(F.sum("n").alias("n")).first()["n"] or 0) * SHARE
+    hot = tally.filter(F.col("n") > least).select("key", "slot", F.col("mixed").alias("kept"))
+    placed = apart.join(F.broadcast(hot), ["key", "slot"], "left").filter("kept is null or kept")
+    placed = placed.withColumn("salt", F.when(F.col("kept"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("kept")
+    salts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return placed.join(tally.filter("mixed").select("key", "slot", "parts", F.explode(salts).alias("salt")), ["key", "slot", "salt"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, words: int = WORDS, num: int = NUM, den: int = DEN, group_keys: int = GROUP_KEYS, **sizes) -> DataFrame:
     """`keep` columns of each row (the id alone, if None), n_shingles, component_id and component (a number of its own;
     null for an empty set)."""
@@ -287,9 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Shingles of classes that still aren't one component: the parts that share one, and these classes.
         labelled = hold(_labelled(large, links).select("node", "grp", "part", "label"), "labelled")
         apart = sharing.join(labelled, "node")
-        mixed = apart.groupBy("key", "slot").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.collect_set("part").alias("parts"))
-        mixed = mixed.filter((F.col("a") != F.col("b")) & (F.size("parts") > 1)).select("key", "slot", "parts")
-        others = apart.join(mixed, ["key", "slot"]).groupBy("node", "part").agg(F.array_distinct(F.flatten(F.collect_set("parts"))).alias("parts"))
+        differ = (F.min("label") != F.max("label")) & (F.size(F.collect_set("part")) > 1)
+        tally = hold(apart.groupBy("key", "slot").agg(differ.alias("mixed"), F.collect_set("part").alias("parts"), F.count("*").alias("n")), "tally")
+        others = _spread(apart, tally).groupBy("node", "part").agg(F.array_distinct(F.flatten(F.collect_set("parts"))).alias("parts"))
         other = F.explode(F.array_remove("parts", F.col("part"))).alias("other")
         tasks = others.select("node", "part", other).select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         links = links.unionByName(solved(held.join(labelled.select("node", "label"), "node").join(tasks, "node")))
