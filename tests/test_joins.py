@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weft.operators import natural_join as NJ
 from weft.operators import patterns as pat
 from weft.operators import skew
 from weft.operators.natural_join import join_count, lookup_join, natural_join, pairwise_chain, row_id_join
@@ -138,3 +139,17 @@ def test_strategies_agree(spark, rows, data):
     assert rows(pat.match(edges, strategy="wcoj")) == expected
     by = Counter(a for a, _, _ in expected)
     assert {r["a0"]: r["count"] for r in pat.count_matches(edges, by=["a0"]).collect() if r["count"]} == dict(by)
+
+
+def test_broadcast_by_bytes_in_memory(spark, tmp_path, monkeypatch):
+    """A side whose file is small but whose hash table isn't is not broadcast, and sides share the room."""
+    spark.range(20000).select(F.col("id").alias("k"), F.lit("x" * 50).alias("v")).coalesce(1).write.parquet(f"{tmp_path}/big")
+    big, small = spark.read.parquet(f"{tmp_path}/big"), spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("w"))
+    monkeypatch.setattr(NJ, "BROADCAST_BYTES", 1 << 20)
+    assert NJ.size_in_bytes(big) < 1 << 20 < NJ.bytes_in_memory(big)
+    hints = lambda df: df._jdf.queryExecution().analyzed().toString().count("strategy=broadcast")
+    assert hints(natural_join([small, big], strategy="broadcast")) == 0
+    assert hints(natural_join([big, small], strategy="broadcast")) == 1
+    monkeypatch.setattr(NJ, "BROADCAST_BYTES", NJ.bytes_in_memory(small) * 3 // 2)
+    two = natural_join([big, small, small.withColumnRenamed("w", "u")], strategy="broadcast")
+    assert hints(two) == 1 and two.count() == 100

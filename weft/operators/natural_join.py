@@ -1,7 +1,7 @@
 """N-ary natural joins: bag semantics, NULL joins nothing, every attribute once in the result.
 
 Steps are DataFrame joins in one plan. Broadcast steps chain without an exchange; a side is only broadcast if the
-estimate of its size allows it, otherwise Catalyst and adaptive execution choose.
+size that it takes in memory allows it, otherwise Catalyst and adaptive execution choose.
 """
 
 from __future__ import annotations
@@ -14,13 +14,22 @@ from pyspark.sql import functions as F
 from ..plans.hypergraph import attributes, connected, greedy_order, shared, size_in_bytes
 
 HINTS = {"shuffle_hash": "shuffle_hash", "merge": "merge", "nested_loop": "shuffle_replicate_nl"}
-#: Bytes, as estimated, of a side that may be broadcast on request.
-BROADCAST_BYTES = 256 << 20
+#: Bytes in memory of all sides that one join broadcasts on request: the driver and each executor hold them.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a hash table's entry besides the row's values.
+ENTRY_BYTES = 64
 
 
-def hinted(df: DataFrame, strategy: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    if strategy == "broadcast":
-        return F.broadcast(df) if size_in_bytes(df) <= limit else df
+def bytes_in_memory(df: DataFrame) -> int:
+    """What df's rows take as a hash table: rows are counted and values of varying length measured, as Catalyst's
+    estimate is of compressed files, a small part of it."""
+    fixed = [f for f in df.schema.fields if f.dataType.typeName() in ("boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz", "decimal")]
+    varying = [f"`{f.name}`" for f in df.schema.fields if f not in fixed]
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in varying), F.lit(ENTRY_BYTES + 8 * len(fixed)))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"]
+
+
+def hinted(df: DataFrame, strategy: str) -> DataFrame:
     return df.hint(HINTS[strategy]) if strategy in HINTS else df
 
 
@@ -38,7 +47,7 @@ def natural_join(relations: Sequence[DataFrame], order: Sequence[int] | str | No
         raise ValueError("order must name every relation once")
     if not allow_cross and not connected(relations, steps):
         raise ValueError("the relations are not connected; allow_cross=True permits a cross product")
-    out = relations[steps[0]]
+    out, room = relations[steps[0]], BROADCAST_BYTES
     for i in steps[1:]:
         right = relations[i]
         on = shared(out.columns, right.columns)
@@ -47,6 +56,8 @@ def natural_join(relations: Sequence[DataFrame], order: Sequence[int] | str | No
                 raise ValueError(f"first attribute {right.columns[0]} isn't bound")
             right = right.drop(*[c for c in on if c != right.columns[0]])
             on = [right.columns[0]]
+        if strategy == "broadcast" and on and size_in_bytes(right) <= room and (taken := bytes_in_memory(right)) <= room:
+            right, room = F.broadcast(right), room - taken
         out = out.join(hinted(right, strategy), on) if on else out.crossJoin(right)
     names = [c for c in attributes(relations) if c in set(out.columns)]
     out = out.select(*names)
