@@ -2,11 +2,13 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weft.operators import blocks
 from weft.operators import natural_join as NJ
 from weft.operators import patterns as pat
 from weft.operators import skew
@@ -153,3 +155,39 @@ def test_broadcast_by_bytes_in_memory(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(NJ, "BROADCAST_BYTES", NJ.bytes_in_memory(small) * 3 // 2)
     two = natural_join([big, small, small.withColumnRenamed("w", "u")], strategy="broadcast")
     assert hints(two) == 1 and two.count() == 100
+
+
+def _graph(seed, vertices=30, n=250):
+    draw = random.Random(seed)
+    return sorted({(draw.randrange(vertices) if draw.random() < 0.8 else 3, draw.randrange(vertices)) for _ in range(n)})
+
+
+@pytest.mark.parametrize("size", [(1 << 18, 1 << 24), (20, 40)])
+def test_parallel_paths_by_blocks(spark, monkeypatch, size):
+    """Squares and triple paths, in one block and in many of several parts; no step makes a row for each path."""
+    monkeypatch.setattr(blocks, "EDGES", size[0])
+    monkeypatch.setattr(blocks, "PATHS", size[1])
+    edges = _graph(1)
+    ways = Counter((a, d) for a, b in edges for c, d in edges if b == c)
+    table = spark.createDataFrame(edges, "src int, dst int")
+    assert pat.count_matches(table, pat.SQUARE, order=["a0", "a1", "a3", "a2"]).first()["count"] == sum(n * n for n in ways.values())
+    assert pat.count_matches(table, ((0, 1), (1, 4), (0, 2), (2, 4), (0, 3), (3, 4))).first()["count"] == sum(n**3 for n in ways.values())
+    assert pat.count_matches(table.filter("src < 0"), pat.SQUARE).first()["count"] == 0
+    plan = pat.count_matches(table, pat.SQUARE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate explode(array_intersect" not in plan
+
+
+def test_paths_of_a_block(monkeypatch):
+    """Runs cut anywhere give the same, with and without a table of marks."""
+    edges = _graph(2)
+    by = {v: sorted(b for a, b in edges if a == v) for v, _ in edges}
+    left = pa.table({"a0": [a for a, _ in edges], "a1": [b for _, b in edges], "of": pa.array([3] * len(edges), pa.int32())})
+    right = pa.table({"middle": list(by) + [3], "near": pa.array([*by.values(), []], pa.list_(pa.int64()))})
+    ways = Counter((a, c) for a, b in edges for c in by.get(b, []))
+    want = sorted((a, b, c) for a, b in edges for c in by.get(b, []) if c in by[a])
+    for at_once in (1, 7, 1 << 20):
+        monkeypatch.setattr(blocks, "AT_ONCE", at_once)
+        paths = blocks.Paths(left, right)
+        assert blocks.powers(paths, 2) == sum(n * n for n in ways.values())
+        edge, last = blocks.closed(paths)
+        assert sorted(zip(paths.roots[paths.root[edge]].tolist(), paths.a1[edge].tolist(), last.tolist(), strict=True)) == want
