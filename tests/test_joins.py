@@ -12,7 +12,7 @@ from weft.operators import blocks
 from weft.operators import natural_join as NJ
 from weft.operators import patterns as pat
 from weft.operators import skew
-from weft.operators.natural_join import join_count, lookup_join, natural_join, pairwise_chain, row_id_join
+from weft.operators.natural_join import counted_join, join_count, lookup_join, natural_join, pairwise_chain, row_id_join
 from weft.operators.sliced import hash_slices, range_slices, sliced_generic_join, sliced_join
 from weft.operators.wcoj import adjacency, generic_join, nested_adjacency, triangle_levels
 from weft.plans.hypergraph import greedy_order
@@ -191,3 +191,19 @@ def test_paths_of_a_block(monkeypatch):
         assert blocks.powers(paths, 2) == sum(n * n for n in ways.values())
         edge, last = blocks.closed(paths)
         assert sorted(zip(paths.roots[paths.root[edge]].tolist(), paths.a1[edge].tolist(), last.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("keys", ["all", "first"])
+@pytest.mark.parametrize("strategy", ["auto", "nested_loop"])
+def test_counted_join_makes_no_pairs(spark, keys, strategy):
+    """A billion rows and more are counted from a few; copies and nulls count as in the rows' join."""
+    r, s, t = [(1, 2), (1, 2), (1, None), (3, 2), (None, 2)], [(2, 5), (2, 5), (2, 6), (None, 5)], [(1, 5), (1, 6), (1, 5), (3, 7)]
+    held = [rel(spark, r, "a0", "a1"), rel(spark, s, "a1", "a2"), rel(spark, t, "a0", "a2")]
+    plain = natural_join(held, keys=keys)
+    assert counted_join(held, keys=keys, strategy=strategy).first()["n"] == plain.count()
+    assert Counter(r["a0"] for r in plain.collect()) == {r["a0"]: r["n"] for r in counted_join(held, keys=keys, strategy=strategy, by=["a0"]).collect()}
+    many = spark.range(100_000).select((F.col("id") % 2).alias("k"), "id")
+    pair = counted_join([many.toDF("k", "x"), many.toDF("k", "y")], keys=keys, strategy=strategy)
+    assert pair.first()["n"] == 5_000_000_000
+    assert counted_join([many.toDF("k", "x"), many.filter("k > 5").toDF("k", "y")], keys=keys, strategy=strategy).first()["n"] == 0
+    assert strategy != "nested_loop" or "CartesianProduct" in pair._jdf.queryExecution().toString()

@@ -65,8 +65,43 @@ def natural_join(relations: Sequence[DataFrame], order: Sequence[int] | str | No
 
 
 def join_count(relations: Sequence[DataFrame], **options) -> int:
-    """Rows of the join; only join columns are read and partial counts are summed."""
-    return natural_join(relations, **options).agg(F.count("*").alias("n")).first()["n"]
+    """Rows of the join."""
+    return counted_join(relations, **options).first()["n"]
+
+
+def counted_join(relations: Sequence[DataFrame], order: Sequence[int] | str | None = None, keys: str = "all", strategy: str = "auto", by: Sequence[str] = (), to: str = "n") -> DataFrame:
+    """Rows of natural_join, by groups of attributes. Rows that agree in all that later steps and `by` compare are one
+    row with their number, on both sides of each step, so their pairs are never made."""
+    steps = greedy_order(relations) if order == "greedy" else list(order) if order is not None else list(range(len(relations)))
+    if sorted(steps) != list(range(len(relations))):
+        raise ValueError("order must name every relation once")
+    if not connected(relations, steps):
+        raise ValueError("the relations are not connected")
+    held = [relations[i] for i in steps]
+    if keys == "first":
+        bound = set(held[0].columns)
+        for k, r in enumerate(held[1:], 1):
+            if r.columns[0] not in bound:
+                raise ValueError(f"first attribute {r.columns[0]} isn't bound")
+            held[k] = r.drop(*[c for c in r.columns[1:] if c in bound])
+            bound |= set(r.columns)
+
+    def numbered(df: DataFrame, kept: list[str], n: str) -> DataFrame:
+        if len(kept) == len(set(df.columns) - {"__n"}):  # all of them: nothing to put together
+            return df.select(*kept, (F.col("__n") if "__n" in df.columns else F.lit(1).cast("long")).alias(n))
+        return df.groupBy(*kept).agg((F.sum("__n") if "__n" in df.columns else F.count("*")).alias(n))
+
+    out = held[0]
+    for k in range(1, len(held) + 1):
+        asked = {*by, *(c for r in held[k:] for c in r.columns)}
+        out = numbered(out, [c for c in out.columns if c in asked], "__n")
+        if k == len(held):
+            break
+        on = shared(out.columns, held[k].columns)
+        asked = {*on, *by, *(c for r in held[k + 1 :] for c in r.columns)}
+        right = numbered(held[k], [c for c in held[k].columns if c in asked], "__m")
+        out = out.join(hinted(right, strategy), on).withColumn("__n", F.col("__n") * F.col("__m")).drop("__m")
+    return out.select(*by, F.coalesce("__n", F.lit(0)).cast("long").alias(to))
 
 
 def pairwise_chain(relations: Sequence[DataFrame], checkpoint: bool = False) -> DataFrame:

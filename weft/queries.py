@@ -15,7 +15,7 @@ from .operators import functors
 from .operators import patterns as pat
 from .operators import primitives as P
 from .operators import skew
-from .operators.natural_join import estimated_rows, lookup_join, natural_join, pairwise_chain, row_id_join, semi_reduce
+from .operators.natural_join import counted_join, estimated_rows, lookup_join, natural_join, pairwise_chain, row_id_join, semi_reduce
 from .operators.sliced import sliced_generic_join, sliced_join
 from .operators.wcoj import adjacency, generic_join, triangle_levels
 from .plans import decision
@@ -144,7 +144,7 @@ query("j22_leaf_expansion", f"WITH {E_SQL} SELECT src, dst FROM e")(lambda t: ad
 query("j25_membership", "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")(lambda t: t.orders.join(t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").agg(F.count("*").alias("n")))
 query("j26_pair_semi", f"WITH {E_SQL} SELECT count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)")(lambda t: t.edges.join(t.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").agg(F.count("*").alias("n")))
 query("j27_match_and_position", f"WITH {E_SQL}, v AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS dense FROM (SELECT DISTINCT src FROM e)) SELECT s_suppkey AS src, dense FROM supplier LEFT JOIN v ON v.src = s_suppkey")(lambda t: t.supplier.select(F.col("s_suppkey").alias("src")).join(P.compact_ids(t.edges, "src"), "src", "left"))
-query("j43_nested_loop", "SELECT count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey")(lambda t: natural_join([named(t.supplier, k="s_nationkey", x="s_suppkey"), named(t.supplier, k="s_nationkey", y="s_suppkey")], strategy="nested_loop").agg(F.count("*").alias("n")))
+query("j43_nested_loop", "SELECT count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey")(lambda t: counted_join([named(t.supplier, k="s_nationkey", x="s_suppkey"), named(t.supplier, k="s_nationkey", y="s_suppkey")], strategy="nested_loop"))
 query("j46_left_outer", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'F' GROUP BY c_custkey")(lambda t: t.customer.join(t.orders.filter("o_orderstatus <> 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")))
 query("j47_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")(lambda t: t.orders.join(t.lineitem.filter("l_quantity > 49"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey"))
 query("j48_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2000-01-01')")(lambda t: t.customer.join(t.orders.filter("o_orderdate >= DATE '2000-01-01'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey"))
