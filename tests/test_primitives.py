@@ -119,3 +119,13 @@ def test_reduce_by_counts_copies(spark, rows):
 
     df = spark.createDataFrame([(k % 2, 3) for k in range(101)] + [(0, 5)], "k int, v long")
     assert rows(functors.reduce_by(df, ["k"], "v", F.lit(0).cast("long"), lambda a, b: a + b)) == [(0, 51 * 3 + 5), (1, 150)]
+
+
+def test_list_rank_broadcasts_nothing(spark, monkeypatch):
+    """Nodes stay on the executors in every round, however small their files are."""
+    plans = []
+    held = P.held
+    monkeypatch.setattr(P, "held", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or held(df, *a))
+    nodes = spark.range(100).select(F.col("id").alias("node"), F.when(F.col("id") < 99, F.col("id") + 1).alias("next"))
+    assert {r["node"]: r["rank"] for r in P.list_rank(nodes).collect()} == {k: 99 - k for k in range(100)}
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)

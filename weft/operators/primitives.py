@@ -132,7 +132,8 @@ def list_rank(nodes: DataFrame, node: str = "node", nxt: str = "next", rounds: i
             return done.select("node", "rank")
         if 1 << k > max(n, 1) * 2:  # longer than all nodes in one list
             break
-        other = done.select(F.col("node").alias("next"), F.col("next").alias("__to"), F.col("rank").alias("__more"))
+        # Never a broadcast: files of whole numbers are small, and each round would send the driver all nodes.
+        other = done.select(F.col("node").alias("next"), F.col("next").alias("__to"), F.col("rank").alias("__more")).hint("merge")
         done = held(done.join(other, "next", "left").select("node", F.col("__to").alias("next"), (F.col("rank") + F.coalesce("__more", F.lit(0))).alias("rank")))
     raise ValueError("a list doesn't end: it is a ring, or longer than 2^rounds")
 
