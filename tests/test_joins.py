@@ -207,3 +207,12 @@ def test_counted_join_makes_no_pairs(spark, keys, strategy):
     assert pair.first()["n"] == 5_000_000_000
     assert counted_join([many.toDF("k", "x"), many.filter("k > 5").toDF("k", "y")], keys=keys, strategy=strategy).first()["n"] == 0
     assert strategy != "nested_loop" or "CartesianProduct" in pair._jdf.queryExecution().toString()
+
+
+def test_distinct_is_spread_by_size(spark, tmp_path, monkeypatch):
+    """The input's size sets the partitions; adaptive execution doesn't put them together."""
+    spark.range(20000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b")).union(spark.range(9).select("id", "id")).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(NJ, "DISTINCT_BYTES", NJ.size_in_bytes(table) // 12)
+    made = NJ.spread_distinct(table)
+    assert made.count() == table.distinct().count() and made.rdd.getNumPartitions() >= 12

@@ -86,15 +86,15 @@ def counted_join(relations: Sequence[DataFrame], order: Sequence[int] | str | No
             held[k] = r.drop(*[c for c in r.columns[1:] if c in bound])
             bound |= set(r.columns)
 
-    def numbered(df: DataFrame, kept: list[str], n: str) -> DataFrame:
-        if len(kept) == len(set(df.columns) - {"__n"}):  # all of them: nothing to put together
+    def numbered(df: DataFrame, kept: list[str], n: str, last: bool = False) -> DataFrame:
+        if not last and len(kept) == len(set(df.columns) - {"__n"}):  # all of them: nothing to put together
             return df.select(*kept, (F.col("__n") if "__n" in df.columns else F.lit(1).cast("long")).alias(n))
         return df.groupBy(*kept).agg((F.sum("__n") if "__n" in df.columns else F.count("*")).alias(n))
 
     out = held[0]
     for k in range(1, len(held) + 1):
         asked = {*by, *(c for r in held[k:] for c in r.columns)}
-        out = numbered(out, [c for c in out.columns if c in asked], "__n")
+        out = numbered(out, [c for c in out.columns if c in asked], "__n", k == len(held))
         if k == len(held):
             break
         on = shared(out.columns, held[k].columns)
@@ -129,6 +129,17 @@ def lookup_join(left: DataFrame, table: DataFrame, key: str, assert_unique: bool
     return left.join(table, key, "left")
 
 
+#: Bytes, as estimated of files, that one task of a distinct takes at most.
+DISTINCT_BYTES = 4 << 20
+
+
+def spread_distinct(df: DataFrame) -> DataFrame:
+    """Distinct rows, in as many partitions as the input's size asks for: adaptive execution would put together what
+    comes to 64 MB compressed, which is some ten million rows of two numbers and gigabytes as a hash table."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_in_bytes(df) // DISTINCT_BYTES))
+    return df.repartition(n, *[F.col(f"`{c}`") for c in df.columns]).distinct()
+
+
 def semi_reduce(left: DataFrame, right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides without rows that can't join."""
     on = list(on)

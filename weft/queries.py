@@ -15,7 +15,7 @@ from .operators import functors
 from .operators import patterns as pat
 from .operators import primitives as P
 from .operators import skew
-from .operators.natural_join import counted_join, estimated_rows, lookup_join, natural_join, pairwise_chain, row_id_join, semi_reduce
+from .operators.natural_join import counted_join, estimated_rows, lookup_join, natural_join, pairwise_chain, row_id_join, semi_reduce, spread_distinct
 from .operators.sliced import sliced_generic_join, sliced_join
 from .operators.wcoj import adjacency, generic_join, triangle_levels
 from .plans import decision
@@ -42,7 +42,7 @@ class Tables:
     @property
     def edges(self) -> DataFrame:
         """The part-supplier graph: distinct (l_partkey, l_suppkey), ids in one domain."""
-        return self.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+        return spread_distinct(self.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
     @property
     def lines(self) -> DataFrame:
