@@ -216,3 +216,19 @@ def test_distinct_is_spread_by_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(NJ, "DISTINCT_BYTES", NJ.size_in_bytes(table) // 12)
     made = NJ.spread_distinct(table)
     assert made.count() == table.distinct().count() and made.rdd.getNumPartitions() >= 12
+
+
+def test_paths_are_counted_without_rows_for_each(spark):
+    """A tree's matches, by groups as well; 10^12 of them from 20000 edges."""
+    edges = _graph(3)
+    out = Counter(a for a, _ in edges)
+    by = Counter()
+    for a, b in edges:
+        by[a] += sum(out[d] for c, d in edges if c == b)
+    table = spark.createDataFrame(edges, "src int, dst int")
+    assert pat.count_matches(table, pat.PATH_3).first()["count"] == sum(by.values())
+    assert {r["a0"]: r["count"] for r in pat.count_matches(table, pat.PATH_3, ["a0"]).collect() if r["count"]} == {a: n for a, n in by.items() if n}
+    hubs = spark.range(1, 10_001).select("id", F.lit(0).cast("long").alias("to"))
+    both = hubs.union(hubs.select("to", "id"))
+    assert pat.count_matches(both, pat.PATH_3).first()["count"] == 2 * 10**8
+    assert pat.count_matches(both, ((0, 1), (1, 2), (2, 3), (3, 4))).first()["count"] == 10**12 + 10**8

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import integral, parallel_path_count
-from .natural_join import natural_join
+from .natural_join import counted_join, natural_join
 from .wcoj import generic_join
 
 Pattern = Sequence[tuple[int, int]]
@@ -60,15 +60,22 @@ def match(edges: DataFrame, pattern: Pattern = TRIANGLE, strategy: str = "auto",
 
 def count_matches(edges: DataFrame, pattern: Pattern = TRIANGLE, by: Sequence[str] = (), **options) -> DataFrame:
     """Number of bindings, by groups of attributes; the last attribute of the order is never expanded. Parallel paths of
-    two edges, as a square's, are counted by their ends: n paths make n^2 squares."""
+    two edges, as a square's, are counted by their ends: n paths make n^2 squares. Trees are counted vertex by vertex."""
     relations = edge_relations(edges, pattern, options.pop("assume_distinct", False), options.pop("drop_self_loops", False))
     n = 1 + max(max(p) for p in pattern)
     if not by and (times := _parallel(pattern)) and not set(options) - {"order"} and integral(relations[0]):
         return parallel_path_count(relations[0], times)
+    if not options and not _cyclic(pattern):
+        return counted_join(relations, by=by, to="count")
     order = options.pop("order", [f"a{k}" for k in range(n)] if _prefix_linked(pattern) else None)
     return generic_join(relations, order, list(by), assume_distinct=True, **options)
 
 
+def _cyclic(pattern: Pattern) -> bool:
+    """Whether a linked pattern has more edges than a tree."""
+    return len(pattern) >= len({v for p in pattern for v in p})
+
+
 def _parallel(pattern: Pattern) -> int:
     """How many paths start -> middle -> end, with the same ends, the pattern is made of; 0 if it is another one."""
     starts, ends = {a for a, _ in pattern} - {b for _, b in pattern}, {b for _, b in pattern} - {a for a, _ in pattern}
