@@ -63,6 +63,15 @@ def join_by(left: DataFrame, right: DataFrame, left_key: Column, right_key: Colu
     return left.withColumn("__k", left_key).join(right.withColumn("__k", right_key), "__k").drop("__k")
 
 
+def sum_by(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, by: Sequence[str], value: str, to: str, n: str = "n") -> DataFrame:
+    """Rows `n` of join_by and the sum of a right column, by groups of left columns. Each key's right rows are counted
+    and summed before they meet the left ones, which are put together by key first, so no pairs are made."""
+    held = right.groupBy(right_key.alias("__k")).agg(F.count("*").alias("__m"), F.sum(value).alias("__v"))
+    rows = left.groupBy(*by, left_key.alias("__k")).agg(F.count("*").alias("__n"))
+    met = rows.join(held, "__k")
+    return met.groupBy(*by).agg(F.sum(F.col("__n") * F.col("__m")).alias(n), F.sum(F.col("__n") * F.col("__v")).alias(to))
+
+
 def deal(df: DataFrame, n: int, by: Column | None = None, kind: str = "hash") -> DataFrame:
     """n partitions: "hash" or "range" of a key expression, or "even" without one."""
     if by is None or kind == "even":

@@ -309,7 +309,7 @@ query("u01_predicate", "SELECT c_custkey FROM customer WHERE c_custkey % 3 = 1 A
 query("u02_reduction", "SELECT l_suppkey, bit_xor(l_orderkey) AS reduced FROM lineitem GROUP BY l_suppkey")(lambda t: functors.reduce_by(t.lineitem.select("l_suppkey", "l_orderkey"), ["l_suppkey"], "l_orderkey", F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
 query("u03_flat_map", "SELECT p_partkey, unnest([p_size, -p_size]) AS v FROM part")(lambda t: functors.flat_map(t.part, F.array(F.col("p_size"), -F.col("p_size")), "v").select("p_partkey", "v"))
 query("u04_create_rows", "SELECT o_orderkey AS k, unnest(range(o_orderkey % 3)) AS i FROM orders")(lambda t: functors.create_rows(t.orders.select("o_orderkey"), _repeat, "k long, i long"))
-query("u05_comparator", "SELECT c.c_custkey, count(*) AS n, CAST(sum(s.s_suppkey) AS bigint) AS suppliers FROM customer c JOIN supplier s ON c.c_custkey % 97 = s.s_suppkey % 97 GROUP BY c.c_custkey")(lambda t: functors.join_by(t.customer.select("c_custkey"), t.supplier.select("s_suppkey"), F.col("c_custkey") % 97, F.col("s_suppkey") % 97).groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("suppliers")))
+query("u05_comparator", "SELECT c.c_custkey, count(*) AS n, CAST(sum(s.s_suppkey) AS bigint) AS suppliers FROM customer c JOIN supplier s ON c.c_custkey % 97 = s.s_suppkey % 97 GROUP BY c.c_custkey")(lambda t: functors.sum_by(t.customer.select("c_custkey"), t.supplier.select("s_suppkey"), F.col("c_custkey") % 97, F.col("s_suppkey") % 97, ["c_custkey"], "s_suppkey", "suppliers"))
 query("u06_partitioner", "SELECT CAST(l_suppkey % 5 AS int) AS k, count(*) AS n FROM lineitem GROUP BY 1")(lambda t: functors.deal(t.lineitem, 5, F.col("l_suppkey") % 5).groupBy((F.col("l_suppkey") % 5).cast("int").alias("k")).agg(F.count("*").alias("n")))
 query("x10_formats", "SELECT c_custkey, format('{:,}', c_custkey * 1234) AS f FROM customer")(lambda t: t.customer.select("c_custkey", F.format_number(F.col("c_custkey") * 1234, 0).alias("f")))
 query("s16_reverse_edges", f"WITH {E_SQL} SELECT dst AS src, src AS dst FROM e")(lambda t: reverse_edges(t.edges))
