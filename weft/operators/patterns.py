@@ -42,11 +42,11 @@ def edge_relations(edges: DataFrame, pattern: Pattern, assume_distinct: bool = F
 
 
 def match(edges: DataFrame, pattern: Pattern = TRIANGLE, strategy: str = "auto", isomorphism: bool = False, assume_distinct: bool = False, drop_self_loops: bool = False, keys: str = "all", **options) -> DataFrame:
-    """All bindings a0, a1, ... of the pattern. strategy: "wcoj" for attribute-at-a-time expansion, else that of
-    natural_join. isomorphism: different attributes have different vertices."""
+    """All bindings a0, a1, ... of the pattern. strategy: "wcoj" for attribute-at-a-time expansion, also what
+    "auto" means for triangles of whole numbers; else that of natural_join. isomorphism: different attributes have different vertices."""
     relations = edge_relations(edges, pattern, assume_distinct, drop_self_loops)
     n = 1 + max(max(p) for p in pattern)
-    if strategy == "wcoj":
+    if strategy == "wcoj" or (strategy == "auto" and keys == "all" and not options and tuple(pattern) == TRIANGLE and integral(*relations)):
         out = generic_join(relations, [f"a{k}" for k in range(n)] if _prefix_linked(pattern) else None, assume_distinct=True, **options)
     else:
         out = natural_join(relations, keys=keys, strategy=strategy, **options)

@@ -12,8 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.hypergraph import attributes
+from .blocks import closed_paths, integral
 
 
 def adjacency(edges: DataFrame, src: str, dst: str, to: str = "near", parts: int = 1) -> DataFrame:
@@ -71,7 +73,8 @@ def generic_join(relations: Sequence[DataFrame], order: Sequence[str] | None = N
     Without count_by: all attributes of the result, in the order in which the relations name them. With count_by (a
     list of attributes but the last one of the order, maybe empty): their groups and `count`, summed from sizes of
     the last intersections, which are never expanded. chunk: about how many entries an adjacency row may have; lists are
-    then gathered, joined and intersected in so many parts by hash of the new vertex that a hub's have no more.
+    then gathered, joined and intersected in so many parts by hash of the new vertex that a hub's have no more. Triangles
+    of whole numbers, at the order's begin, are closed by blocks (blocks.py).
     """
     if any(len(r.columns) != 2 for r in relations):
         raise ValueError("relations must have two columns")
@@ -89,6 +92,15 @@ def generic_join(relations: Sequence[DataFrame], order: Sequence[str] | None = N
         links = _bound_by(relations, order[:k], attr)
         if not links:
             raise ValueError(f"{attr} is not linked to earlier attributes")
+        if k == 2 and [other for _, other in sorted(links, key=lambda x: order.index(x[1]))] == order[:2] and len(links) == 2 and integral(*relations):
+            third, second = (r.select(other, attr) for r, other in sorted(links, key=lambda x: order.index(x[1])))
+            kinds = {f.name: f.dataType for r in relations for f in r.schema.fields}
+            made = closed_paths(out, second, third, chunk).toDF(order[0], order[1], "__found")
+            made = made.select(*[F.col(c).cast(kinds[c]).alias(c) for c in order[:2]], "__found")
+            if count_by is not None and k == len(order) - 1:
+                return made.select(*count_by, F.size("__found").alias("__n")).groupBy(*count_by).agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("count"))
+            out = made.select(*order[:2], F.explode(F.col("__found").cast(T.ArrayType(kinds[attr]))).alias(attr))
+            continue
         near, parts = [], parts_of(links, attr, chunk)
         for i, (r, other) in enumerate(links):
             rows = adjacency(r, other, attr, f"__near{i}", parts)
