@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .natural_join import natural_join
@@ -19,15 +19,20 @@ def hash_slices(df: DataFrame, n: int, *by: str) -> Iterator[DataFrame]:
 
 def range_slices(df: DataFrame, column: str, n: int) -> Iterator[DataFrame]:
     """Disjoint ranges of a column's values, about equally full; NULLs are in the first."""
+    return (df.filter(inside) for inside in ranges(df, column, n))
+
+
+def ranges(df: DataFrame, column: str, n: int) -> Iterator[Column]:
+    """Conditions on a column of this name, in any relation, that say which of range_slices a row is in."""
     bounds = sorted(set(df.approxQuantile(column, [k / n for k in range(1, n)], 0.01)))
     c = F.col(column)
     if not bounds:
-        yield df
+        yield F.lit(True)
         return
-    yield df.filter(c.isNull() | (c < bounds[0]))
+    yield c.isNull() | (c < bounds[0])
     for a, b in zip(bounds, bounds[1:], strict=False):
-        yield df.filter((c >= a) & (c < b))
-    yield df.filter(c >= bounds[-1])
+        yield (c >= a) & (c < b)
+    yield c >= bounds[-1]
 
 
 def sliced_join(relations: Sequence[DataFrame], n: int, each: Callable[[DataFrame], None] | None = None, **options) -> DataFrame | None:
@@ -47,8 +52,8 @@ def sliced_generic_join(relations: Sequence[DataFrame], order: Sequence[str], n:
     """generic_join by value ranges of the first attribute: every relation that has it is cut to the range."""
     out = None
     root = next(r for r in relations if order[0] in r.columns)
-    for part in range_slices(root.select(order[0]).distinct(), order[0], n):
-        held = [r.join(part, order[0], "left_semi") if order[0] in r.columns else r for r in relations]
+    for inside in ranges(root.select(order[0]).distinct(), order[0], n):
+        held = [r.filter(inside) if order[0] in r.columns else r for r in relations]
         made = generic_join(held, order, **options)
         out = made if out is None else out.unionByName(made)
     return out
