@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weft.operators import functors, patterns
+from weft.operators.natural_join import row_id_join
 
 
 def test_sums_by_a_computed_key_make_no_pairs(spark):
@@ -19,3 +20,16 @@ def test_triangles_are_closed_without_rows_of_paths(spark):
     found = patterns.match(edges)
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 1 + 3 * 10_000
+
+
+def test_a_key_of_many_pairs_is_the_work_of_many_tasks(spark, rows):
+    """20,000 x 9,000 rows of one key: pairs in many tasks, none with half of them; null and repeated ids and keys count."""
+    left, right = spark.range(20_000).selectExpr("id div 100000 k", "id i"), spark.range(9_000).selectExpr("id div 100000 k", "id j")
+    made = row_id_join(left, right, "k", "i", "j")
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 * 9_000 and max(sizes) < sum(sizes) / 2
+    ends = made.agg(F.sum("left_row"), F.sum("right_row"), F.count_if((F.col("left_row") == 7) & (F.col("right_row") == 8_999))).first()
+    assert tuple(ends) == (9_000 * sum(range(20_000)), 20_000 * sum(range(9_000)), 1)
+    odd = spark.createDataFrame([(1, None), (1, 5), (1, 5), (None, 6), (2, 7)], "k int, i int")
+    other = spark.createDataFrame([(1, "a"), (1, None), (None, "b"), (3, "c")], "k int, j string")
+    assert rows(row_id_join(odd, other, "k", "i", "j")) == sorted([(None, "a"), (None, None), (5, "a"), (5, "a"), (5, None), (5, None)], key=repr)
