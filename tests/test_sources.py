@@ -66,3 +66,18 @@ def test_streaming_triangles(spark, tmp_path):
     triangles.run(spark, stream, f"{tmp_path}/state", f"{tmp_path}/check").awaitTermination()
     every = spark.createDataFrame([e for b in batches for e in b], "src int, dst int")
     assert triangles.total(spark, f"{tmp_path}/state") == triangles.static_total(every)
+
+
+def test_tasks_of_tries_hold_a_bounded_file(spark, rows, tmp_path):
+    """A vertex of 2.5 million neighbours, each twice: no file holds them all, none of them is in two files."""
+    hub = spark.range(2_500_000).selectExpr("cast(7 as int) a0", "cast(id as int) a1")
+    paths = trie.write_tries(hub.union(hub), f"{tmp_path}/t")
+    assert len(paths) > 1 and max((tmp_path / "t" / p.rsplit("/", 1)[1]).stat().st_size for p in paths) < 5 << 20
+    assert tuple(trie.read_tries(spark, paths).selectExpr("count(*)", "sum(a0)", "sum(a1)").first()) == (2_500_000, 7 * 2_500_000, sum(range(2_500_000)))
+    deep = spark.createDataFrame([(a % 3, -(a % 5), a % 2) for a in range(60)], "a2 int, a0 int, a1 int")
+    small = trie.write_tries(deep, f"{tmp_path}/d", 2, 4)
+    assert len(small) >= 8 and rows(trie.read_tries(spark, small)) == rows(deep.distinct())
+    trie.write_trie(deep, f"{tmp_path}/one.tr")
+    assert rows(trie.read_trie(spark, f"{tmp_path}/one.tr")) == rows(deep.distinct())
+    trie.write_trie(deep.limit(0), f"{tmp_path}/none.tr")
+    assert rows(trie.read_trie(spark, f"{tmp_path}/none.tr")) == []

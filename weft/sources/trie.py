@@ -21,6 +21,8 @@ from .columnar import _open, listed, put_file, read_columnar
 from .shared import ship
 
 HEAD, VALUE, ROWS = np.dtype("<u8"), np.dtype("<i4"), 1 << 16
+#: Rows of a file that a task makes among others.
+FILE_ROWS = 1 << 20
 
 
 def write_adjacency(edges: DataFrame, path: str, src: str = "a0", dst: str = "a1") -> None:
@@ -46,11 +48,10 @@ def encode_trie(columns: list[np.ndarray], attributes: list[int]) -> bytes:
     return b"".join([head.tobytes(), *(x.astype(VALUE).tobytes() for x in levels), *(x.astype(VALUE).tobytes() for x in offsets)])
 
 
-def decode_trie(held: bytes) -> tuple[list[int], np.ndarray]:
-    """Attribute ids and the rows."""
+def trie_rows(held: bytes, step: int) -> Iterator[list[np.ndarray]]:
+    """Columns of `step` rows at a time; besides the file, no more is held."""
     n = int(np.frombuffer(held, HEAD, 1)[0])
-    lengths, ids = np.frombuffer(held, HEAD, n, 8).astype(int), np.frombuffer(held, HEAD, n, 8 * (n + 1)).astype(int)
-    at = 8 * (2 * n + 1)
+    lengths, at = np.frombuffer(held, HEAD, n, 8).astype(int), 8 * (2 * n + 1)
     levels, offsets = [], []
     for size in lengths:
         levels.append(np.frombuffer(held, VALUE, size, at))
@@ -58,18 +59,27 @@ def decode_trie(held: bytes) -> tuple[list[int], np.ndarray]:
     for size in lengths[:-1]:
         offsets.append(np.frombuffer(held, VALUE, size + 1, at))
         at += 4 * (size + 1)
-    columns = [levels[-1]]
-    width = np.ones(lengths[-1], int)
-    for k in range(n - 2, -1, -1):
-        total = np.concatenate([[0], np.cumsum(width)])
-        width = total[offsets[k][1:]] - total[offsets[k][:-1]]
-        columns = [np.repeat(levels[k], width), *columns]
-    return ids.tolist(), np.stack(columns, 1)
+    for begin in range(0, lengths[-1], step):
+        place = np.arange(begin, min(begin + step, lengths[-1]), dtype=VALUE)
+        columns = [levels[-1][place]]
+        for k in range(n - 2, -1, -1):
+            place = np.searchsorted(offsets[k], place, "right") - 1
+            columns.insert(0, levels[k][place])
+            place = place.astype(VALUE)
+        yield columns
+
+
+def decode_trie(held: bytes) -> tuple[list[int], np.ndarray]:
+    """Attribute ids and the rows."""
+    n = int(np.frombuffer(held, HEAD, 1)[0])
+    ids = np.frombuffer(held, HEAD, n, 8 * (n + 1)).astype(int)
+    made = [np.stack(columns, 1) for columns in trie_rows(held, FILE_ROWS)]
+    return ids.tolist(), np.concatenate([np.zeros((0, n), VALUE), *made])
 
 
 def write_trie(rows: DataFrame, path: str) -> None:
     """A relation with columns a<k> as one file. For small relations: one task makes it (write_tries: many)."""
-    made = write_tries(rows.coalesce(1), f"{path}.parts", 1)
+    made = write_tries(rows.coalesce(1), f"{path}.parts", 1, None)
     system, base = _open(path)
     if made:
         system.move(_open(made[0])[1], base)
@@ -79,9 +89,10 @@ def write_trie(rows: DataFrame, path: str) -> None:
         system.delete_dir(_open(f"{path}.parts")[1])
 
 
-def write_tries(rows: DataFrame, directory: str, parts: int | None = None) -> list[str]:
-    """A relation with columns a<k> as one file for each range of the first column; each is made by its task. Returns the
-    paths. Equal rows meet in one range, so files are sets. A null is an error."""
+def write_tries(rows: DataFrame, directory: str, parts: int | None = None, file_rows: int | None = FILE_ROWS) -> list[str]:
+    """A relation with columns a<k> as files of at most file_rows rows; a task makes those of a range of the first column,
+    in order, and holds one at a time (None: one file for each range). Returns the paths. Equal rows meet in one range
+    and next to each other, so files are sets and share no row. A null is an error."""
     ship(rows.sparkSession)
     ids = [int(c.removeprefix("a")) for c in rows.columns]
     first = rows.columns[0]
@@ -91,14 +102,34 @@ def write_tries(rows: DataFrame, directory: str, parts: int | None = None) -> li
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = [b for b in batches if b.num_rows]
-        if held:
-            columns = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(len(ids))]
-            path = f"{directory}/{TaskContext.get().partitionId():05d}.tr"
-            put_file(path, encode_trie(columns, ids))
-            yield pa.RecordBatch.from_pydict({"path": [path]})
+        paths: list[str] = []
 
-    return sorted(r["path"] for r in dealt.mapInArrow(write, "path string").collect())
+        def put(columns: list[list[np.ndarray]]) -> None:
+            paths.append(f"{directory}/{TaskContext.get().partitionId():05d}-{len(paths):05d}.tr")
+            put_file(paths[-1], encode_trie([np.concatenate(c) for c in columns], ids))
+
+        held, n, last = [[] for _ in ids], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            new = np.append(last != [c[0] for c in columns], np.any([c[1:] != c[:-1] for c in columns], axis=0))
+            last = [c[-1] for c in columns]
+            columns = [c[new] for c in columns]
+            while len(columns[0]):
+                took = len(columns[0]) if file_rows is None else min(len(columns[0]), file_rows - n)
+                for k, c in enumerate(columns):
+                    held[k].append(c[:took].copy())
+                n, columns = n + took, [c[took:] for c in columns]
+                if n == file_rows:
+                    put(held)
+                    held, n = [[] for _ in ids], 0
+        if n:
+            put(held)
+        if paths:
+            yield pa.RecordBatch.from_pydict({"path": paths})
+
+    return sorted(r["path"] for r in dealt.sortWithinPartitions(*rows.columns).mapInArrow(write, "path string").collect())
 
 
 def read_tries(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -114,9 +145,9 @@ def read_tries(spark: SparkSession, paths: list[str]) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, base = _open(path)
                 with system.open_input_file(base) as f:
-                    _, rows = decode_trie(f.read())
-                for k in range(0, len(rows), ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[k : k + ROWS, j].astype(VALUE)) for j in range(len(ids))], names=[f"a{i}" for i in ids])
+                    held = f.read()
+                for columns in trie_rows(held, ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f"a{i}" for i in ids])
 
     listed_paths = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
     return listed_paths.mapInArrow(read, ", ".join(f"a{i} int" for i in ids))
