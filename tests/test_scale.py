@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weft.operators import functors, patterns
+from weft.operators import blocks, functors, natural_join, patterns
 from weft.operators.natural_join import row_id_join
 
 
@@ -33,3 +33,12 @@ def test_a_key_of_many_pairs_is_the_work_of_many_tasks(spark, rows):
     odd = spark.createDataFrame([(1, None), (1, 5), (1, 5), (None, 6), (2, 7)], "k int, i int")
     other = spark.createDataFrame([(1, "a"), (1, None), (None, "b"), (3, "c")], "k int, j string")
     assert rows(row_id_join(odd, other, "k", "i", "j")) == sorted([(None, "a"), (None, None), (5, "a"), (5, "a"), (5, None), (5, None)], key=repr)
+
+
+def test_edges_are_dealt_by_their_size(spark, monkeypatch, rows):
+    """Ranges are as many as the size asks for, though adaptive execution would put them together; triangles are the same."""
+    edges = spark.range(3_000).selectExpr("id % 50 a0", "id * 7 % 60 a1").distinct()
+    plain = rows(patterns.match(edges))
+    monkeypatch.setattr(natural_join, "DISTINCT_BYTES", max(1, natural_join.size_in_bytes(edges) // 20))
+    assert 15 < blocks.dealt(edges).groupBy(F.spark_partition_id()).count().count() <= 21
+    assert plain and rows(patterns.match(edges)) == plain

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import held, ship
+from .natural_join import partitions_of
 
 #: Edges that end a block (all edges of a vertex are in one); paths of a part; paths made at once.
 EDGES, PATHS, AT_ONCE = 1 << 18, 1 << 24, 1 << 20
@@ -121,6 +122,14 @@ def powers(paths: Paths, power: int) -> int:
     return total
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Ranges of a0, ordered. Of large tables as many as their size asks for, not as many as partitions of a shuffle (16
+    times these at most, as the estimate of a join's size is a product)."""
+    n, usual = partitions_of(rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange("a0") if n <= usual else rows.repartitionByRange(min(n, 16 * usual), "a0")
+    return ranges.sortWithinPartitions("a0")
+
+
 def over_paths(first: DataFrame, second: DataFrame, closing: DataFrame | None, kernel: Callable[[Paths], dict], schema: str, chunk: int | None = None) -> DataFrame:
     """What `kernel` makes of each part of a block. Relations are distinct, without nulls, of whole numbers: first
     (a0, a1), second (a1, a2), closing (a0, a2). chunk: entries that one row of lists has at most."""
@@ -131,8 +140,7 @@ def over_paths(first: DataFrame, second: DataFrame, closing: DataFrame | None, k
     rows = first.toDF("a0", "a1").withColumn("of", F.lit(3 if same(closing) else 1))
     if closing is not None and not same(closing):
         rows = rows.unionByName(closing.toDF("a0", "a1").withColumn("of", F.lit(2)))
-    dealt = rows.repartitionByRange("a0").sortWithinPartitions("a0")
-    edges = held(dealt.mapInArrow(_numbered(EDGES), "a0 long, a1 long, of int, block long"), "blocks")
+    edges = held(dealt(rows).mapInArrow(_numbered(EDGES), "a0 long, a1 long, of int, block long"), "blocks")
     if same(second):  # made once
         second = edges.filter("of & 1 = 1").select("a0", "a1")
     second = second.toDF("a1", "a2")

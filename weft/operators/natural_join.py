@@ -147,10 +147,15 @@ def lookup_join(left: DataFrame, table: DataFrame, key: str, assert_unique: bool
 DISTINCT_BYTES = 4 << 20
 
 
+def partitions_of(df: DataFrame) -> int:
+    """So many that each has DISTINCT_BYTES at most, as Catalyst estimates."""
+    return -(-size_in_bytes(df) // DISTINCT_BYTES)
+
+
 def spread_distinct(df: DataFrame) -> DataFrame:
     """Distinct rows, in as many partitions as the input's size asks for: adaptive execution would put together what
     comes to 64 MB compressed, which is some ten million rows of two numbers and gigabytes as a hash table."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_in_bytes(df) // DISTINCT_BYTES))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions_of(df))
     return df.repartition(n, *[F.col(f"`{c}`") for c in df.columns]).distinct()
 
 
